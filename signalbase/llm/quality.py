@@ -115,7 +115,7 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+    [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM d),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
@@ -125,7 +125,7 @@ f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(l) AS BIGINT) AS n_lines,
-    CAST(len(list_filter(w, x -> lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words
+    CAST(len([x FOR x IN w IF lower(x) IN ({stop})]) AS BIGINT) AS n_stop_words
   FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
 SELECT *, NOT base_failed AND {checks} AS kept FROM b"""
