@@ -6,25 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalbase.llm import quality, simhash
+from signalbase.llm import mixing, packing, quality, simhash
 from signalbase.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "positions", "text_hash")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_mixing": op5_mixing,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.oracle(),
+    "op5_mixing": mixing.oracle(),
 }
 
 
