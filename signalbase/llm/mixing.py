@@ -36,6 +36,9 @@ MOST_TIMES = 3
 #: Rows of a source that a block of its order holds, about.
 BLOCK_ROWS = 4096
 
+#: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class Schedule:
@@ -98,12 +101,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     sized = df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), digest.alias("at"), F.xxhash64(text).alias("text_hash"))
     sized = staged(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    targets = source_targets(sources, weights, most)
+    targets = source_targets(sources, weights, most).select(F.col("source").alias("of"), "source_size", "rows", "rank", "target")
 
     # Blocks: the leading 32 bits of the digest, cut into as many ranges as the source's rows ask for.
     lead = F.conv(F.substring("at", 1, 8), 16, 10).cast("long")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
-    joined = sized.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, F.col("source").eqNullSafe(targets["source"])).select(sized["*"], "source_size", "rows", "rank", "target")
+    small = targets.count() <= BROADCAST_ROWS
+    joined = sized.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     joined = joined.withColumn("block", F.floor(lead * blocks / (1 << 32)))
     totals = joined.groupBy("rank", "block").agg(F.sum("size").alias("words"))
     # A source's blocks in one window: one row for 4096 of its documents.
@@ -144,7 +148,7 @@ s AS MATERIALIZED (SELECT source, rank, source_size, {most} * source_size AS mos
 t AS (SELECT source, rank, source_size, least(CAST(most AS DOUBLE), weight * (SELECT level FROM l{rounds})) AS target FROM s),
 p AS (SELECT d.doc_id, d.size, t.rank, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.at, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE
     (goal // source_size) * size + greatest(0, least(size, goal - (goal // source_size) * source_size - before)) END AS taken FROM p)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE rank % {len(schedules)} {times} END END AS position

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalbase.llm import mixing, packing, quality, simhash
+from signalbase.llm import avi, html, mixing, packing, quality, simhash
 from signalbase.llm.common import table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = avi.write_avi(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return avi.read_avi(written).withColumn("feature", avi.feature()).drop("clips")
+
+
+def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -34,7 +43,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_avi_shots": op1_avi_shots,
     "op3_quality_rules": op3_quality_rules,
+    "op4_tag_path_text": op4_tag_path_text,
     "op5_mixing": op5_mixing,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
