@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalbase.llm import avi, html, mixing, packing, quality, simhash
+from signalbase.llm import avi, html, mixing, packing, pii, quality, simhash
 from signalbase.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.read_avi(written).withColumn("feature", avi.feature()).drop("clips")
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -44,6 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_shots": op1_avi_shots,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_quality_rules": op3_quality_rules,
     "op4_tag_path_text": op4_tag_path_text,
     "op5_mixing": op5_mixing,
