@@ -153,3 +153,18 @@ q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE
     (goal // source_size) * size + greatest(0, least(size, goal - (goal // source_size) * source_size - before)) END AS taken FROM p)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE rank % {len(schedules)} {times} END END AS position
 FROM (SELECT *, before / goal AS share FROM q)"""
+
+
+def taken_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``df`` with each row as often as the mix takes it, in training order.
+
+    A taking in part counts if it holds at least half the document. Rows equal
+    in id and text are each taken as often as the one of them taken longest.
+    """
+    mixed = mix(df, id_col, text, source).filter("taken > 0")
+    counted = mixed.select(F.col(id_col).alias("_of"), "text_hash", F.slice("positions", 1, F.round(F.col("taken") / F.col("size")).cast("int")).alias("at"))
+    once = counted.groupBy("_of", "text_hash").agg(F.max("at").alias("_at")).filter(F.size("_at") > 0)
+    keyed = df.withColumn("_key", F.xxhash64(text))
+    joined = keyed.join(once, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("text_hash")))
+    each = joined.select(*df.columns, F.explode("_at").alias("_position"))
+    return each.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")
