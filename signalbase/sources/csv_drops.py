@@ -7,6 +7,7 @@ a byte order mark), else as GB18030; a file in neither gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -22,7 +23,7 @@ RAW = "file_name string, row long, cells map<string,string>"
 
 
 def discover(spark: SparkSession, root: str, spec: config.SourceSpec, stats: BuildStats | None = None) -> DataFrame | None:
-    """(path, content) of the source's files, or None (and a warning) where its folder is missing."""
+    """(path, file_name, content) of the source's files, or None (and a warning) where its folder is missing."""
     folder = f"{root.rstrip('/')}/{spec.subdir}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -30,6 +31,10 @@ def discover(spark: SparkSession, root: str, spec: config.SourceSpec, stats: Bui
         if stats is not None:
             stats.warnings.append(f"missing folder: {folder}")
         return None
+    if stats is not None:
+        # Spark's readers pass over files of no bytes, which count all the same.
+        names = [s.getPath().getName() for s in system.listStatus(hadoop)]
+        stats.source_files += sum(n.endswith(".csv") and any(re.match(p, n) for p in spec.patterns) for n in names)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
     wanted = F.lit(False)
@@ -64,8 +69,6 @@ def read_source(spark: SparkSession, root: str, spec: config.SourceSpec, stats:
     if files is None:
         raw = spark.createDataFrame([], RAW)
     else:
-        if stats is not None:
-            stats.source_files += files.select("path").count()
         raw = files.select("file_name", "content").mapInPandas(_rows, RAW)
 
     def first(aliases: Sequence[str]) -> Column:
