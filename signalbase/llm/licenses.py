@@ -133,3 +133,24 @@ def find_licenses(df: DataFrame, known: DataFrame | None = None, id_col: str = "
     out = gained.select("id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
     rest = rows.filter(F.size("lines") == 0).select("id", "text_digest", "license", F.lit("").alias("notices"), F.lit(0).cast("long").alias("n_notices"))
     return out.unionByName(rest).withColumnRenamed("id", id_col)
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '(?m)^[\\s/*#;!<>\\-]+', '', 'g')"
+    out = f"trim(regexp_replace(regexp_replace({out}, '(?m)^(?:copyright\\b|\\(c\\)|©|all rights reserved).*$', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    out = f"' ' || {out} || ' '"
+    for spelling, one in SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{one}')"
+    return f"nullif(trim({out}), '')"
+
+
+def oracle(known: tuple[tuple[str, str], ...] = TEXTS + NOTICES) -> str:
+    """DuckDB SQL of the query op7, from the same table of licences."""
+    quoted = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in known)
+    return f"""
+WITH known AS (SELECT sha256({_canonical_sql('text')}) AS digest, min(license) AS license FROM (VALUES {quoted}) AS t(license, text) GROUP BY 1),
+lines AS (SELECT doc_id, sha256({_canonical_sql('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)licen[cs]e|permission|redistribution')),
+named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices, count(DISTINCT digest) AS n_notices FROM lines JOIN known USING (digest) GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS text_digest FROM documents)
+SELECT w.doc_id, w.text_digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
+FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN named n USING (doc_id)"""

@@ -98,7 +98,7 @@ def features(text: Column) -> Column:
 
 def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with the features, ``base_failed`` and ``kept``."""
-    own = [c for c in df.columns if c not in {*FEATURES, "base_failed", "kept"}]
+    own = [c for c in df.columns if c not in {*FEATURES, "_quality", "base_failed", "kept"}]
     counted = df.select(*own, features(F.col(text)).alias("_quality")).select(*own, *(F.col("_quality")[c].alias(c) for c in FEATURES))
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words"))
     verdict = ~failed

@@ -77,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.oracle(),
     "op5_mixing": mixing.oracle(),
+    "op7_license_digests": licenses.oracle(),
+    "op8_warc": warc.ORACLE,
 }
 
 

@@ -162,3 +162,13 @@ def round_trip(df: DataFrame) -> DataFrame:
     if report.isEmpty():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
     return read_warc(spark, folder, report)
+
+
+#: DuckDB SQL of the query op8. Base32: each 5 hex digits of the digest are 4 characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * c}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for c in range(4)
+)
+ORACLE = f"""
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS m FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))"""
