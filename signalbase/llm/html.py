@@ -10,7 +10,8 @@ and all its text is taken, so that short paragraphs and titles stay.
 
 Elements that are never an article (navigation, header and footer of the
 page, forms, scripts, styles) and those whose class or id names an advert, a
-notice, a sidebar or reader comments are left out beforehand.
+notice, a sidebar or reader comments are left out beforehand; an element
+named so that holds the page's article all the same is its frame, and stays.
 
 Defined cases: a null, empty or textless page gives an empty text; unclosed
 and stray tags are closed as browsers do for paragraphs, list items and table
@@ -35,10 +36,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LEFT_OUT = frozenset("nav header footer aside form script style template noscript head button dialog menu".split())
 LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|sidebar|side|aside|widget|related|recommend\w*|"
-    r"share|sharing|social|comments?|commentlist|disqus|respon[ds]e?s?|replies|reply|discussion|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|topbar|login|signup|search|tags?|toc)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|sidebar|aside|widget|related|recommend\w*|"
+    r"share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|topbar|login|signup|search|tags?|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Names of a page's layout that only say whether it has such a part.
+LAYOUT_NAMES = re.compile(r"(?<![^\s_-])(?:has|with|no|without|show|hide)[-_]\w+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,20 +56,22 @@ THRESHOLD = 0.5
 
 
 class Block:
-    """A stretch of text between block boundaries: ``at`` are the numbers of the elements around it, from the root."""
+    """A stretch of text between block boundaries: ``at`` are the numbers of the elements around it, from the root, ``left_out`` those of them that a name leaves out."""
 
-    __slots__ = ("at", "path", "text")
+    __slots__ = ("at", "path", "left_out", "text")
 
-    def __init__(self, at: tuple[int, ...], path: str, text: str):
-        self.at, self.path, self.text = at, path, text
+    def __init__(self, at: tuple[int, ...], path: str, left_out: tuple[int, ...], text: str):
+        self.at, self.path, self.left_out, self.text = at, path, left_out, text
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text outside left-out elements, references decoded and white space collapsed."""
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    # Of each open element: its tag, its number, whether it is left out by its tag, and the elements around it that a name leaves out.
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]
     out: list[Block] = []
     parts: list[str] = []
-    where: tuple[tuple[int, ...], str] = ((0,), "")
+    where: tuple[tuple[int, ...], str, tuple[int, ...]] = ((0,), "", ())
+    holds_article: set[int] = set()
     number = 0
 
     def end_block() -> None:
@@ -82,7 +87,7 @@ def blocks_of(page: str) -> list[Block]:
             if not stack[-1][2]:
                 if not parts:
                     own = [x for x in stack if x[0] not in INLINE]
-                    where = tuple(x[1] for x in own), "/".join(x[0] for x in own)
+                    where = tuple(x[1] for x in own), "/".join(x[0] for x in own), stack[-1][3]
                 parts.append(token)
             continue
         tag = (m[3] or "").lower()
@@ -110,19 +115,23 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or (m[4] or "").endswith("/") and tag not in BOUNDARY:
             continue
         number += 1
-        stack.append((tag, number, stack[-1][2] or _left_out(tag, m[4] or "", stack)))
+        by_tag, by_name = _left_out(tag, m[4] or "", stack)
+        if tag in ("main", "h1") or tag == "article" and not by_name:
+            # Whatever holds the article is the page's frame, not a part to be left out.
+            holds_article.update(stack[-1][3])
+        stack.append((tag, number, stack[-1][2] or by_tag, stack[-1][3] + (number,) * by_name))
     end_block()
-    return out
+    return [b for b in out if holds_article.issuperset(b.left_out)]
 
 
-def _left_out(tag: str, attributes: str, stack: list) -> bool:
-    if tag in LEFT_OUT:
-        # An article's own header holds its title.
-        return not (tag == "header" and any(x[0] in ("article", "main") for x in stack))
-    if tag in ("html", "body", "main", "article") or "=" not in attributes:
-        return False
-    values = [a or b or c for a, b, c in ATTRIBUTE.findall(attributes)]
-    return any(LEFT_OUT_NAMES.search(v) or v.lower() in ROLES for v in values)
+def _left_out(tag: str, attributes: str, stack: list) -> tuple[bool, bool]:
+    """Whether an element's tag, or its class, id or role, says that it is no part of an article."""
+    # An article's own header holds its title.
+    by_tag = tag in LEFT_OUT and not (tag == "header" and any(x[0] in ("article", "main") for x in stack))
+    if by_tag or tag in ("html", "body", "main") or "=" not in attributes:
+        return by_tag, False
+    values = [LAYOUT_NAMES.sub("", a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)]
+    return by_tag, any(LEFT_OUT_NAMES.search(v) or v.lower() in ROLES for v in values)
 
 
 def main_text(page: str | None) -> str:

@@ -26,6 +26,19 @@ def test_edges(page, text):
     assert main_text(page) == text
 
 
+FRAMES = [
+    '<div class="page has-sidebar no-comments">{}<div class=sidebar>menu of things, long</div></div>',
+    '<div class="related layout"><main>{}</main></div>',
+    '<div id="page-header-wrap search"><article class="post">{}</article></div>',
+    "<body class=sidebar><div role=main>{}</div><section id=comments><article class='comment-body comment'><p>A reader says, at great length, that this is, indeed, so.</p></article></section>",
+]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_frames_of_the_article_stay(frame):
+    assert main_text(frame.format(f"<h1>Head</h1><p>{BODY}</p><p>End.</p>")) == f"Head {BODY} End."
+
+
 def test_long_pages_take_linear_time():
     assert len(main_text("<p>" + "word, " * 300_000)) > 1_000_000
     assert main_text("<" * 200_000) and main_text("<div>" * 3000 + "x") == "x"
