@@ -19,11 +19,11 @@ class SourceSpec:
     url: tuple[str, ...]
 
 
-#: The default registry, with header aliases in order of preference.
+#: Folders, file names and header aliases, in order of preference. The names are this registry's own.
 SOURCES = (
-    SourceSpec("wechat-daily-news-csv", "news", "csv", (r"^\d{4}-\d{2}-\d{2}\.csv$",), ("标题", "title"), ("正文", "content", "summary", "摘要"), ("作者", "author"), ("URL", "url", "link")),
-    SourceSpec("news-spider", "news", "data", (r"^articles-\d{4}-\d{2}-\d{2}\.csv$",), ("title", "标题"), ("content", "正文", "summary", "摘要"), ("author", "作者"), ("url", "URL", "link")),
-    SourceSpec("literature-rss-spider", "literature", "output", (r"^news_with_abstract_\d{4}-\d{2}-\d{2}\.csv$",), ("title", "标题"), ("abstract", "summary", "摘要", "content"), ("author", "authors", "作者"), ("url", "URL", "link")),
+    SourceSpec("daily-news", "news", "csv", (r"^\d{4}-\d{2}-\d{2}\.csv$",), ("标题", "title"), ("正文", "content", "summary", "摘要"), ("作者", "author"), ("URL", "url", "link")),
+    SourceSpec("articles", "news", "data", (r"^articles-\d{4}-\d{2}-\d{2}\.csv$",), ("title", "标题"), ("content", "正文", "summary", "摘要"), ("author", "作者"), ("url", "URL", "link")),
+    SourceSpec("abstracts", "literature", "output", (r"^news_with_abstract_\d{4}-\d{2}-\d{2}\.csv$",), ("title", "标题"), ("abstract", "summary", "摘要", "content"), ("author", "authors", "作者"), ("url", "URL", "link")),
 )
 
 

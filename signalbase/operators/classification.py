@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbase import config, schema
 from signalbase.functions import classify, text
+from signalbase.operators.numbering import numbered
 
 
 def pending(records: DataFrame, model: str, date: str = "", month: str = "", resume: bool = False) -> DataFrame:
@@ -26,13 +27,9 @@ def pending(records: DataFrame, model: str, date: str = "", month: str = "", res
 
 
 def batches(rows: DataFrame, size: int, order: Sequence[Column]) -> DataFrame:
-    """``rows`` with (month, idx, batch): chunks of ``size`` within a month, in order; a batch never crosses months.
-
-    A month is numbered in one window: it holds what one month's drops bring.
-    """
-    month = text.month_key(F.col("date"))
-    idx = F.row_number().over(Window.partitionBy("month").orderBy(*order)) - 1
-    return rows.withColumn("month", month).withColumn("idx", idx.cast("long")).withColumn("batch", F.floor(F.col("idx") / size))
+    """``rows`` with (month, idx, batch): chunks of ``size`` within a month, in order; a batch never crosses months."""
+    month = rows.withColumn("month", text.month_key(F.col("date")))
+    return numbered(month, ["month"], order).withColumn("batch", F.floor(F.col("idx") / size))
 
 
 def limit_by_batch(batched: DataFrame, size: int, limit: int) -> DataFrame:
@@ -65,11 +62,11 @@ def merge_results(rows: DataFrame, answers: DataFrame, vocabulary: Sequence[str]
     """
     keyed = answers.withColumn("idx", F.col("result.id").cast("long"))
     last = keyed.groupBy("month", "batch", "idx").agg(F.max_by("result", "pos").alias("result"))
-    joined = rows.join(last, ["month", "batch", "idx"], "left")
+    joined = rows.drop("category", "confidence", "reason").join(last, ["month", "batch", "idx"], "left")
     missing = F.col("result").isNull()
     good = classify.coerced(F.col("result"), vocabulary)
     none = F.struct(F.lit(config.UNRELATED).alias("category"), F.lit(0.0).alias("confidence"), F.lit(config.MISSING_REASON).alias("reason"))
-    return joined.withColumn("_r", F.when(missing, none).otherwise(good)).select(*rows.columns, "_r.*") if not {"category"} & set(rows.columns) else joined.withColumn("_r", F.when(missing, none).otherwise(good)).select("month", "batch", "idx", "_r.*")
+    return joined.withColumn("_r", F.when(missing, none).otherwise(good)).drop("result").select("*", "_r.*").drop("_r")
 
 
 def fallback(answer: Column, prefix: str = "LLM batch parse failed: ", chars: int = 120) -> Column:

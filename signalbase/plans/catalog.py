@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from signalbase.operators import classification, knowledge, search
 from signalbase.operators import records as rec
 from signalbase.plans import fixtures as fx
 from signalbase.sources import store
+from signalbase.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -269,11 +271,7 @@ add("filter_month", lambda s, d: classification.pending(fx.classified(s, d), fx.
 
 def load_shards(spark: SparkSession, d: str) -> DataFrame:
     """Shards written by month to the shared folder, then read with a filter on the month."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-signalbase-")
-    path = f"{root.rstrip('/')}/shards-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     rows = fx.records(spark, d).select("ingest_ord", "date", "title").withColumn("month", text.month_key(F.col("date")))
     rows.repartition("month").write.partitionBy("month").parquet(path)
     return spark.read.schema("ingest_ord long, date string, title string, month string").parquet(path).filter(F.col("month") >= "2026-02")

@@ -23,7 +23,7 @@ LEAVES = (
 )
 VOCABULARY = ("alpha/the", "alpha/（tion）", "alpha/lytion", "beta/und", "delta/none/deep", "gamma/ción")
 GROUPS = ("gamma", "alpha", config.UNCLASSIFIED)
-MODEL, PROVIDER = "glm-5.2", "zai"
+MODEL = config.TRUSTED_MODELS[0]
 
 RECORDS_SQL = """records AS (
   SELECT d.doc_id AS ingest_ord, trim(split_part(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), '.', 1)) AS title,
@@ -145,7 +145,7 @@ def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRIOR_SQL = f"""{CLASSIFIED_SQL},
 prior AS (SELECT content_hash, category, date, ingest_ord, classifier_model, CASE WHEN score > 0 THEN least(0.95::DOUBLE, 0.45::DOUBLE + score / 20) ELSE 0.0::DOUBLE END AS confidence FROM classified
   UNION ALL SELECT content_hash, 'later-' || category, '2026-09-01', ingest_ord + 1000000, classifier_model, CASE WHEN score > 0 THEN least(0.95::DOUBLE, 0.45::DOUBLE + score / 20) ELSE 0.0::DOUBLE END FROM classified WHERE ingest_ord % 2 = 0),
-eligible AS (SELECT * FROM prior WHERE classifier_model IN ('glm-5.2', 'gpt-5.4-mini') AND category <> '' AND category <> '{config.UNCLASSIFIED}'),
+eligible AS (SELECT * FROM prior WHERE classifier_model IN ('{config.TRUSTED_MODELS[0]}', '{config.TRUSTED_MODELS[1]}') AND category <> '' AND category <> '{config.UNCLASSIFIED}'),
 deduped AS (SELECT * FROM eligible QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY substr(date, 1, 7) DESC, ingest_ord DESC) = 1)"""
 
 

@@ -46,8 +46,8 @@ def meta_stats(records: DataFrame) -> DataFrame:
     return kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records_total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("intelligence_type", "n")))).alias("records_by_type"))
 
 
-def job_descriptor(meta: DataFrame, target: int = config.TARGET_ROWS) -> DataFrame:
-    """The classification job as JSON, from (processed_at, taxonomy_version)."""
+def job_descriptor(meta: DataFrame, target: int = config.TARGET_ROWS, prompt_file: str = "prompts/classification.md") -> DataFrame:
+    """The classification job as JSON, from (processed_at, taxonomy_version); the prompt is the caller's."""
     strings = lambda *x: F.array(*map(F.lit, x))
     job = F.struct(
         F.col("processed_at").alias("created_at"),
@@ -60,7 +60,7 @@ def job_descriptor(meta: DataFrame, target: int = config.TARGET_ROWS) -> DataFra
             F.lit("low_confidence_review_only").alias("phase_3"),
             strings("url", "content_hash", "taxonomy_version", "extractor_version").alias("cache_key"),
         ).alias("strategy"),
-        F.lit("prompts/classification_and_extraction.md").alias("prompt_file"),
+        F.lit(prompt_file).alias("prompt_file"),
         strings(f"Prefer {config.GROUP_ORDER[0]} and {config.GROUP_ORDER[1]} over {config.GROUP_ORDER[2]} when applicable.", f"Use {config.UNRELATED} for records outside the tracked technology boundary.").alias("priority_rules"),
         strings("Do not classify full text freely.", "Prefer candidate-restricted classification.", "Keep audit trail for every decision.").alias("notes"),
     )

@@ -58,3 +58,17 @@ def test_month_bounds_prune_partitions(spark, tmp_path):
     found = matches(spark.read.parquet(path), Query(date_from="2026-02-01", date_to="2026-02-28"))
     assert sorted(ids(found)) == [1, 3]
     assert "PartitionFilters: [isnotnull(month" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_in_groups_that_span_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from signalbase.operators.numbering import numbered
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.lit("b")).alias("g"), (F.col("id") * 7919 % 5000).alias("k"))
+    got = numbered(rows, ["g"], [F.desc("k")], "n").collect()
+    groups = {}
+    for r in sorted(got, key=lambda r: -r["k"]):
+        assert r["n"] == groups.get(r["g"], 0)
+        groups[r["g"]] = r["n"] + 1
+    assert sum(groups.values()) == 5000 and numbered(rows.filter("false"), ["g"], [F.desc("k")]).count() == 0
