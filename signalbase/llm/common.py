@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalbase.sources.shared import shared_dir, staged
+
 #: White space as the operators define it: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
 
@@ -51,29 +50,6 @@ def found(text: Column, pattern: str) -> Column:
     return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans), F.array().cast(kind))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a folder of its own; any other
-    master is refused, for its executors could not see such a folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-signalbase-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/signalbase/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_size(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches cut into slices of at most ``rows`` rows."""
     for batch in batches:
@@ -83,3 +59,6 @@ def by_size(batches: Iterator, rows: int = 256) -> Iterator:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["SPACE", "by_size", "found", "let", "shared_dir", "staged", "table", "words"]
