@@ -17,10 +17,12 @@ def test_whole_texts_and_notices(spark):
         (None, MIT),
         (7, "nothing here"),
         (7, "nothing here"),
+        (8, "Boost Software Licence, Version 1.0 - August 17th, 2003\n\n" + dict(licenses.TEXTS)["BSL-1.0"].split("\n\n", 1)[1]),
+        (9, "The zlib licence\nCopyright 1999 N. N.\n" + next(t for n, t in licenses.TEXTS if n == "Zlib")),
     ]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
     got = [(r["doc_id"], r["license"], r["notices"]) for r in licenses.find_licenses(frame).collect()]
-    assert sorted(got, key=repr) == sorted([(1, "MIT", ""), (2, "BSD-3-Clause", ""), (3, None, ""), (4, None, "GPL-3.0,MIT"), (5, None, ""), (6, None, ""), (None, "MIT", ""), (7, None, ""), (7, None, "")], key=repr)
+    assert sorted(got, key=repr) == sorted([(1, "MIT", ""), (2, "BSD-3-Clause", ""), (3, None, ""), (4, None, "GPL-3.0,MIT"), (5, None, ""), (6, None, ""), (None, "MIT", ""), (7, None, ""), (7, None, ""), (8, "BSL-1.0", ""), (9, "Zlib", "")], key=repr)
 
 
 def test_oracles(spark):
