@@ -78,8 +78,9 @@ def parse_model_array(text: Column) -> Column:
 
 def parse_model_object(text: Column) -> Column:
     """The JSON object in a model's answer; null where it does not parse."""
-    parsed = F.from_json(_salvaged(text, "{", "}"), schema.MODEL_RESULT, {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(F.is_valid_json(_salvaged(text, "{", "}")), parsed) if hasattr(F, "is_valid_json") else parsed
+    inner = _salvaged(text, "{", "}")
+    # from_json alone gives a row of nulls for what is no JSON.
+    return F.when(F.get_json_object(inner, "$").startswith("{"), F.from_json(inner, schema.MODEL_RESULT))
 
 
 def coerced(result: Column, vocabulary: Sequence[str]) -> Column:

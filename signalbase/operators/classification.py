@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from signalbase import config, schema
 from signalbase.functions import classify, text
 from signalbase.operators.numbering import numbered
+from signalbase.sources.shared import staged
 
 
 def pending(records: DataFrame, model: str, date: str = "", month: str = "", resume: bool = False) -> DataFrame:
@@ -128,14 +129,50 @@ def ask(requests: DataFrame, classifier: Classifier, attempts: int = 3, pause: f
     return spread.mapInPandas(run, "month string, batch bigint, answer string")
 
 
-def classify_records(records: DataFrame, classifier: Classifier, vocabulary: Sequence[str], model: str, provider: str, order: Sequence[Column], date: str = "", month: str = "", resume: bool = False, batch_size: int = 20, limit: int = 0, attempts: int = 3, pause: float = 1.0) -> DataFrame:
-    """``records`` after a run of the model over what is pending."""
-    rows = limit_by_batch(batches(pending(records, model, date, month, resume), batch_size, order), batch_size, limit)
+def prompts(requests: DataFrame, template: str) -> DataFrame:
+    """Requests with each batch's JSON put into a template at ``{items}``; the text around it is the caller's."""
+    return requests.withColumn("items", F.replace(F.lit(template), F.lit("{items}"), F.col("items")))
+
+
+def classify_records(
+    records: DataFrame,
+    classifier: Classifier,
+    vocabulary: Sequence[str],
+    model: str,
+    provider: str,
+    order: Sequence[Column],
+    date: str = "",
+    month: str = "",
+    resume: bool = False,
+    batch_size: int = 20,
+    limit: int = 0,
+    attempts: int = 3,
+    pause: float = 1.0,
+    template: str = "{items}",
+    single: bool = False,
+) -> DataFrame:
+    """``records`` after a run of the model over what is pending.
+
+    With ``single`` each record is asked for alone and answered by one JSON
+    object; else a batch is answered by an array. A limit then counts records.
+    """
+    rows = pending(records, model, date, month, resume)
+    if single:
+        batch_size, rows = 1, limit_exact(rows, limit, order)
+    rows = limit_by_batch(batches(rows, batch_size, order), batch_size, 0 if single else limit)
     asked = rows.select("month", "batch", "idx", "ingest_ord")
-    answers = ask(request_items(rows), classifier, attempts, pause).withColumn("results", classify.parse_model_array(F.col("answer")))
+    answers = ask(prompts(request_items(rows), template), classifier, attempts, pause)
+    if single:
+        one = classify.parse_model_object(F.col("answer"))
+        results = F.when(one.isNotNull(), F.array(F.struct(F.col("batch").cast("int").alias("id"), one["category"].alias("category"), one["confidence"].alias("confidence"), one["reason"].alias("reason"))))
+        failure = fallback(F.col("answer"), "LLM output parse failed: ", 180)
+    else:
+        results, failure = classify.parse_model_array(F.col("answer")), fallback(F.col("answer"))
+    # The model is asked once: its answers are kept before they are read twice.
+    answers = staged(answers.withColumn("results", results).withColumn("_f", failure), "answers")
     parsed = answers.filter(F.col("results").isNotNull()).select("month", "batch", F.posexplode("results").alias("pos", "result"))
     merged = merge_results(asked, parsed, vocabulary)
-    failed = answers.filter(F.col("results").isNull()).select("month", "batch", fallback(F.col("answer")).alias("_f"))
+    failed = answers.filter(F.col("results").isNull()).select("month", "batch", "_f")
     both = merged.join(failed, ["month", "batch"], "left")
-    results = both.select("ingest_ord", *(F.when(F.col("_f").isNotNull(), F.col(f"_f.{c}")).otherwise(F.col(c)).alias(c) for c in ("category", "confidence", "reason")))
-    return write_back(records, results, model, provider)
+    done = both.select("ingest_ord", *(F.when(F.col("_f").isNotNull(), F.col(f"_f.{c}")).otherwise(F.col(c)).alias(c) for c in ("category", "confidence", "reason")))
+    return write_back(records, done, model, provider)

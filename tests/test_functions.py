@@ -124,7 +124,7 @@ def test_model_array(spark, answer, ids):
 @pytest.mark.parametrize(("answer", "category"), [('{"category": "x", "confidence": 0.5}', "x"), ('```json\n{"category": "y"}\n```', "y"), ("I say {\"category\": \"z\"}", "z"), ("none", None)])
 def test_model_object(spark, answer, category):
     got = value(spark, classify.parse_model_object(F.lit(answer)))
-    assert (got and got["category"]) == category
+    assert (None if got is None else got["category"]) == category and (got is None) == (category is None)
 
 
 def test_escape_and_preview(spark):

@@ -99,6 +99,20 @@ def test_failing_model_gives_fallback_rows(spark, tmp_path):
     assert got == {(config.UNRELATED, "LLM batch parse failed: out of order")}
 
 
+def test_single_records_are_asked_one_by_one(spark, tmp_path):
+    build(spark, drops(tmp_path), str(tmp_path / "s"))
+    rows = store.read_store(spark, str(tmp_path / "s")).drop("month")
+
+    def one(prompt):
+        assert prompt.startswith("Sort this: [{") and prompt.count('"title"') == 1
+        return "so be it" if '"wide"' in prompt else '```json\n{"category": "a/b", "confidence": 0.5}\n```'
+
+    done = classification.classify_records(rows, one, ["a/b"], "m", "p", newest_first(), pause=0.0, template="Sort this: {items}", single=True, limit=4)
+    got = {r["title"]: (r["category"], r["classification_confidence"], r["classification_reason"], r["classifier_model"]) for r in done.collect()}
+    assert got["P"] == ("a-b", 0.5, "", "m") and got["wide"] == (config.UNRELATED, 0.0, "LLM output parse failed: so be it", "m")
+    assert sum(v[3] == "m" for v in got.values()) == 4
+
+
 def test_stream_of_drops(spark, tmp_path):
     drop(tmp_path, NEWS, "articles-2026-06-30.csv", "title,content\nt,first\n")
     start = lambda: incremental.follow(spark, str(tmp_path / NEWS.subdir), NEWS, ["title", "content"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
