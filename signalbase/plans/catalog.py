@@ -377,8 +377,7 @@ def first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(rows, search.Query(date_from=latest, date_to=latest)).drop("key_parameters")
 
 
-add("first_page", first_page, R(f"SELECT ingest_ord, date, title FROM records WHERE date = (SELECT max(date) FROM records) {NEWEST} LIMIT 40"))
-_QUERIES["first_page"] = lambda s, d: first_page(s, d).select("ingest_ord", "date", "title")
+add("first_page", lambda s, d: first_page(s, d).select("ingest_ord", "date", "title"), R(f"SELECT ingest_ord, date, title FROM records WHERE date = (SELECT max(date) FROM records) {NEWEST} LIMIT 40"))
 
 
 def queries() -> dict[str, Query]:
