@@ -11,6 +11,8 @@ from signalbase.sources.shared import shared_dir, staged
 
 #: White space as the operators define it: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
+#: Matches of a text that are gathered at a time.
+BLOCK = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,7 +35,6 @@ def found(text: Column, pattern: str) -> Column:
     walk over the same leftmost, non-overlapping matches.
     """
     kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(pieces: Column, matches: Column) -> Column:
         def add(acc: Column, i: Column) -> Column:
@@ -42,7 +43,16 @@ def found(text: Column, pattern: str) -> Column:
             one = F.struct(start.alias("start"), end.alias("end"), matches[i].alias("match"), pieces[i].alias("before"), pieces[i + 1].alias("after"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        return F.reduce(F.sequence(F.lit(0), F.size(matches) - 1), first, add, lambda acc: acc["out"])
+        # Appending copies, so matches are gathered by blocks and blocks are joined at the end.
+        last = F.size(matches) - 1
+
+        def add_block(acc: Column, base: Column) -> Column:
+            block = F.sequence(base, F.least(base + F.lit(BLOCK - 1), last))
+            start = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+            return let(F.reduce(block, start, add), lambda b: F.struct(b["at"].alias("at"), F.concat(acc["out"], F.array(b["out"])).alias("out")))
+
+        blocks = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.reduce(F.sequence(F.lit(0), last, F.lit(BLOCK)), blocks, add_block, lambda acc: F.flatten(acc["out"]))
 
     def spans(matches: Column) -> Column:
         return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), lambda pieces: step(pieces, matches))).otherwise(F.array().cast(kind))
