@@ -273,7 +273,7 @@ def load_shards(spark: SparkSession, d: str) -> DataFrame:
     """Shards written by month to the shared folder, then read with a filter on the month."""
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     rows = fx.records(spark, d).select("ingest_ord", "date", "title").withColumn("month", text.month_key(F.col("date")))
-    rows.repartition("month").write.partitionBy("month").parquet(path)
+    rows.repartitionByRange("month", "ingest_ord").write.partitionBy("month").parquet(path)
     return spark.read.schema("ingest_ord long, date string, title string, month string").parquet(path).filter(F.col("month") >= "2026-02")
 
 

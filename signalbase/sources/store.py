@@ -81,9 +81,9 @@ def write_store(records: DataFrame, folder: str, stats: BuildStats, knowledge: D
     spark = records.sparkSession
     out = f"{folder.rstrip('/')}/generations/{uuid.uuid4().hex}"
     month = records.withColumn("month", text.month_key(F.col("date")))
-    # Rows of a month go to a bounded number of files, split by their place, not to one task.
-    spread = month.withColumn("_slice", F.pmod(F.xxhash64("ingest_ord"), F.lit(8))).repartition("month", "_slice").drop("_slice")
-    spread.sortWithinPartitions(*newest_first()).write.partitionBy("month").options(**OPTIONS).json(f"{out}/processed")
+    # Ranges of the record order: a month of any size is spread over as many tasks as it needs, and small ones share one.
+    spread = month.repartitionByRange(F.desc("month"), *newest_first())
+    spread.sortWithinPartitions(F.desc("month"), *newest_first()).write.partitionBy("month").options(**OPTIONS).json(f"{out}/processed")
     shards = manifest(records)
     counted = {r["intelligence_type"]: r["n"] for r in count_by_type(records).collect()}
     stats.records_by_type, stats.records_total = counted, sum(counted.values())
