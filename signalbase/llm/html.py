@@ -5,8 +5,9 @@ For each path the mean text length and the mean number of punctuation marks
 of its nodes are its two ratios. In page order, the ratios of the nodes'
 paths are smoothed by a Gaussian window and fused by multiplication; paths
 whose fused ratio reaches a threshold (a share of the standard deviation) are
-content. The element that encloses most of the content text is the article,
-and all its text is taken, so that short paragraphs and titles stay.
+content. The deepest part of the page that encloses nearly all content text, or
+the article or main element around it, is the article, and all its text is
+taken, so that short paragraphs and titles stay.
 
 Elements that are never an article (navigation, header and footer of the
 page, forms, scripts, styles) and those whose class or id names an advert, a
@@ -51,8 +52,13 @@ BOUNDARY = frozenset("article section div main td ul ol table body blockquote li
 PUNCTUATION = str.maketrans("", "", ".,;:!?…。，；：！？、")
 SPACE_RUN = re.compile(r"\s+")
 
+#: What an article may be; lists, tables and quotations are parts of one.
+PARTS = frozenset("article section div main body".split())
+
 WINDOW_NODES = 2
 THRESHOLD = 0.5
+NEARLY_ALL = 0.9
+TITLED = 1.25
 
 
 class Block:
@@ -152,19 +158,29 @@ def main_text(page: str | None) -> str:
     fused = smooth(text_ratio) * (1 + smooth(mark_ratio))
     of_path = np.bincount(of, fused) / nodes
     content = (of_path >= min(THRESHOLD * fused.std(), of_path.max()))[of]
-    # The deepest element that encloses most of the content text.
-    total, inside = lengths[content].sum(), {}
+    # The deepest part of a page that encloses nearly all of the content text; no list, table or quotation is one.
+    total, inside, names, places = lengths[content].sum(), {}, {}, {}
+    whole: dict[int, float] = {}
     for b, n, c in zip(blocks, lengths, content):
-        if c:
-            for depth, e in enumerate(b.at):
-                inside.setdefault(e, [0.0, depth])[0] += n
-    names = {}
-    for b in blocks:
-        for e, name in zip(b.at, b.path.split("/")):
-            names[e] = name
-    article = max((e for e, (n, _) in inside.items() if n > 0.5 * total and (names[e] in BOUNDARY - {"li", "td"} or not e)), key=lambda e: inside[e][1], default=0)
-    if names.get(article) in ("", "body", None):  # nothing narrower encloses it: the content paths themselves
-        return " ".join(b.text for b, c in zip(blocks, content) if c)
+        for depth, (e, name) in enumerate(zip(b.at, b.path.split("/"))):
+            names[e], places[e] = name, (b.at, depth + 1)
+            whole[e] = whole.get(e, 0.0) + n
+            if c:
+                inside[e] = inside.get(e, 0.0) + n
+    around = lambda e: places[e][0][: places[e][1]] if e in places else ()
+    article = max((e for e, n in inside.items() if n >= NEARLY_ALL * total and (names[e] in PARTS or not e)), key=lambda e: places[e][1], default=0)
+    outer = [e for e in around(article) if names[e] in ("article", "main")]
+    if outer:
+        article = outer[-1]
+    # A title beside the part that holds the body, with little else.
+    titled = {e for b in blocks if "h1" in b.path.split("/") for e in b.at}
+    if article not in titled:
+        frames = [e for e in around(article) if e in titled and names[e] in PARTS - {"body"} and whole[e] <= TITLED * whole[article]]
+        article = frames[-1] if frames else article
+    if names.get(article) in ("", "body", None):  # nothing narrower encloses it: whatever holds content, and the title
+        depth = len(around(article))
+        holds = {b.at[depth] for b, c in zip(blocks, content) if c and len(b.at) > depth}
+        return " ".join(b.text for b, c in zip(blocks, content) if c or len(b.at) > depth and b.at[depth] in holds or "h1" in b.path.split("/"))
     return " ".join(b.text for b in blocks if article in b.at)
 
 

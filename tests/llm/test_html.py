@@ -57,3 +57,19 @@ def test_columns(spark):
     frame = spark.createDataFrame([(None, None, "u", "t"), (1, "<p>x", None, "t"), (1, "<p>x", None, "t")], "page_id long, html string, url string, text string")
     rows = extract_text(frame).collect()
     assert sorted((r["text"], r["n_chars"]) for r in rows) == [("", 0), ("x", 1), ("x", 1)] and extract_text(frame.filter("false")).count() == 0
+
+
+WHOLE = [
+    f"<article><h1>Head</h1><p>Short.</p><blockquote><p>{BODY} {BODY}</p></blockquote><p>{BODY}</p></article>",
+    f"<article><section><p>{BODY} {BODY}</p></section><section><p>{BODY}</p><p>Short.</p></section></article>",
+    f"<div id=a><div><p>{BODY} {BODY}</p></div><div><p>{BODY}</p></div></div>",
+    f"<article><p>{BODY}</p><ul><li>{BODY}<li>{BODY}<li>{BODY}</ul><p>Short.</p></article>",
+    f"<article><p>{BODY}</p><table><tr><td>{BODY}<td>{BODY}</table><p>Short.</p></article>",
+    f"<main><h1>Head</h1><div class=body><p>{BODY}</p><p>{BODY}</p></div></main>",
+    f"<div><h1>Head</h1><div class=body><p>{BODY}</p><p>{BODY}</p></div></div>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_no_part_of_an_article_is_lost(page):
+    assert main_text(f"<body>{page}</body>") == " ".join(re.sub("<[^>]*>", " ", page).split())
