@@ -10,9 +10,10 @@ the article or main element around it, is the article, and all its text is
 taken, so that short paragraphs and titles stay.
 
 Elements that are never an article (navigation, header and footer of the
-page, forms, scripts, styles) and those whose class or id names an advert, a
+page, scripts, styles), forms, and those whose class or id names an advert, a
 notice, a sidebar or reader comments are left out beforehand; an element
-named so that holds the page's article all the same is its frame, and stays.
+named so that holds the page's article all the same is its frame, and stays,
+as does a form or an element of a doubtful name that holds most of the text.
 
 Defined cases: a null, empty or textless page gives an empty text; unclosed
 and stray tags are closed as browsers do for paragraphs, list items and table
@@ -35,10 +36,15 @@ from signalbase.llm.common import by_size
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LEFT_OUT = frozenset("nav header footer aside form script style template noscript head button dialog menu".split())
+LEFT_OUT = frozenset("nav header footer aside script style template noscript head button dialog menu".split())
 LEFT_OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|sidebar|aside|widget|related|recommend\w*|"
-    r"share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|topbar|login|signup|search|tags?|toc)(?:$|[\s_-])",
+    r"share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|topbar|login|signup|search|toc)(?:$|[\s_-])|(?:^|\s)tags?(?:[_-](?:list|links|cloud|s))?(?:$|\s)",
+    re.I,
+)
+#: Of those, names that articles' own subjects and frames have as well: an element that holds most of a page's text is not left out for one of them.
+DOUBTFUL_NAMES = re.compile(
+    r"(?:^|(?<=[\s_-]))(?:promo\w*|notices?|alerts?|widget|related|recommend\w*|share|sharing|social|replies|reply|discussion|login|signup|search|tags?|toc)(?=$|[\s_-])",
     re.I,
 )
 #: Names of a page's layout that only say whether it has such a part.
@@ -78,6 +84,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     where: tuple[tuple[int, ...], str, tuple[int, ...]] = ((0,), "", ())
     holds_article: set[int] = set()
+    doubtful: set[int] = set()
     number = 0
 
     def end_block() -> None:
@@ -121,23 +128,36 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or (m[4] or "").endswith("/") and tag not in BOUNDARY:
             continue
         number += 1
-        by_tag, by_name = _left_out(tag, m[4] or "", stack)
+        by_tag, by_name, doubt = _left_out(tag, m[4] or "", stack)
+        if doubt:
+            doubtful.add(number)
         if tag in ("main", "h1") or tag == "article" and not by_name:
             # Whatever holds the article is the page's frame, not a part to be left out.
             holds_article.update(stack[-1][3])
         stack.append((tag, number, stack[-1][2] or by_tag, stack[-1][3] + (number,) * by_name))
     end_block()
+    # Text that no other element leaves out, by the doubtful elements around it.
+    share: dict[int, int] = {}
+    total = 0
+    for b in out:
+        if all(e in holds_article or e in doubtful for e in b.left_out):
+            total += len(b.text)
+            for e in b.left_out:
+                share[e] = share.get(e, 0) + len(b.text)
+    holds_article.update(e for e, n in share.items() if e in doubtful and 2 * n > total)
     return [b for b in out if holds_article.issuperset(b.left_out)]
 
 
-def _left_out(tag: str, attributes: str, stack: list) -> tuple[bool, bool]:
-    """Whether an element's tag, or its class, id or role, says that it is no part of an article."""
+def _left_out(tag: str, attributes: str, stack: list) -> tuple[bool, bool, bool]:
+    """Whether an element's tag, or its tag form, class, id or role, says that it is no part of an article, and whether its share of the text may refute the latter."""
     # An article's own header holds its title.
     by_tag = tag in LEFT_OUT and not (tag == "header" and any(x[0] in ("article", "main") for x in stack))
     if by_tag or tag in ("html", "body", "main") or "=" not in attributes:
-        return by_tag, False
+        return by_tag, tag == "form", tag == "form"
     values = [LAYOUT_NAMES.sub("", a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)]
-    return by_tag, any(LEFT_OUT_NAMES.search(v) or v.lower() in ROLES for v in values)
+    named = [v for v in values if LEFT_OUT_NAMES.search(v) or v.lower() in ROLES]
+    sure = any(LEFT_OUT_NAMES.search(DOUBTFUL_NAMES.sub("", v)) or v.lower() in ROLES - {"form", "search", "alert"} for v in named)
+    return by_tag, tag == "form" or bool(named), not sure and (tag == "form" or bool(named))
 
 
 def main_text(page: str | None) -> str:

@@ -73,3 +73,24 @@ WHOLE = [
 @pytest.mark.parametrize("page", WHOLE)
 def test_no_part_of_an_article_is_lost(page):
     assert main_text(f"<body>{page}</body>") == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+WRAPPED = [
+    "<form action=/><div id=main>{}</div><input></form>",
+    '<form class="page" method=post><h1>Head</h1>{}</form>',
+    "<article class='post tag-news'>{}</article><form>Name <button>Go</button></form>",
+    "<div class='post tag-x'>{}</div><div class=tag-list>one, two, three</div>",
+    "<div class='post discussion-politics'>{}</div><div class=related-posts><p>Other things, elsewhere.</p></div>",
+    "<div class='post search'>{}</div><div class=comments><p>A reader says, at great length, that this is, indeed, so.</p></div>",
+]
+
+
+@pytest.mark.parametrize("frame", WRAPPED)
+def test_forms_and_doubtful_names_around_an_article_stay(frame):
+    head = "Head " if "<h1>" in frame else ""
+    assert main_text("<body>" + frame.format(f"<h2>Title</h2><p>{BODY}</p><p>{BODY}</p>") + "</body>") == f"{head}Title {BODY} {BODY}"
+
+
+def test_small_forms_and_doubtful_names_are_left_out():
+    page = f"<body><div class=post><p>{BODY}</p><p>{BODY}</p><form><p>Write, to us, now.</p></form><div class='share-buttons'>Share, this, now.</div><div class=tags>a, b, c</div></div></body>"
+    assert main_text(page) == f"{BODY} {BODY}"
