@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +60,62 @@ def found(text: Column, pattern: str) -> Column:
     return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans), F.array().cast(kind))
 
 
-def by_size(batches: Iterator, rows: int = 256) -> Iterator:
-    """Arrow batches cut into slices of at most ``rows`` rows."""
+def by_size(batches: Iterator, rows: int = 256, size: int = 1 << 24) -> Iterator:
+    """Arrow batches cut into slices of at most ``rows`` rows, halved while they hold more than ``size`` bytes and more than one row."""
+    todo = []
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo.extend(batch.slice(at, rows) for at in reversed(range(0, batch.num_rows, rows)))
+        while todo:
+            part = todo.pop()
+            if part.nbytes > size and part.num_rows > 1:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+#: Keys of more rows than ``LEAST_HOT`` and than one in ``MOST_HOT`` of all are hot; there are at most ``MOST_HOT`` of them.
+LEAST_HOT, MOST_HOT = 256, 4000
+
+
+def spread_join(rows: DataFrame, counted: DataFrame, on: Sequence[str], total: int) -> DataFrame:
+    """``rows`` joined with ``counted``, which holds each key once and in ``n`` how many of ``rows`` (of ``total``) have it.
+
+    Hot keys, of which there are few by their definition, meet a broadcast
+    where they lie; the others are shuffled, and none of those is large.
+    """
+    on, limit = list(on), max(LEAST_HOT, total // MOST_HOT)
+    hot = counted.filter(F.col("n") > limit)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(counted.filter(F.col("n") <= limit), on))
+
+
+def text_hash(text: str) -> Column:
+    """A hash of a text column; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def one_of_each(df: DataFrame, roots: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row of each class of texts: of the smallest id (null last), of equal ids of the smallest text hash.
+
+    ``roots`` gives (v, root) by text hash; texts that it lacks are classes of
+    their own. Rows equal in id and text stay once, as the smallest of them;
+    rows of equal id and different text are told apart.
+    """
+    rows = df.withColumn("_v", text_hash(text)).withColumn("_null", F.col(id_col).isNull())
+    own = rows.groupBy("_null", F.col(id_col).alias("_id"), "_v").agg(F.count("*").alias("_copies"))
+    least = own.groupBy("_v").agg(F.min(F.struct("_null", "_id", "_copies")).alias("_least"))
+    least = least.join(roots.select(F.col("v").alias("_v"), "root"), "_v", "left").withColumn("root", F.coalesce("root", "_v"))
+    chosen = least.groupBy("root").agg(F.min(F.struct("_least._null", "_least._id", "_v", "_least._copies")).alias("_one"))
+    chosen = chosen.select(F.col("_one._id").alias("_id"), F.col("_one._v").alias("_of"), F.col("_one._copies").alias("_copies"))
+    kept = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_of")))
+    # Only rows that repeat are shuffled once more.
+    again = kept.filter("_copies > 1").groupBy("_id", "_of").agg(F.min(F.struct(*(df[c] for c in df.columns))).alias("_row"))
+    return kept.filter("_copies = 1").select(*(df[c] for c in df.columns)).unionByName(again.select("_row.*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SPACE", "by_size", "found", "let", "shared_dir", "staged", "table", "words"]
+__all__ = ["SPACE", "by_size", "found", "let", "one_of_each", "shared_dir", "spread_join", "staged", "table", "text_hash", "words"]

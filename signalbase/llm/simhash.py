@@ -16,7 +16,11 @@ so no link is lost and no group is multiplied by itself.
 Defined cases: a null or blank text has fingerprint zero and is linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows
 share a class; rows with a null id take part, but an id of null is never the
-smallest unless a class has no other (then the class id is null).
+smallest unless a class has no other (then the class id is null). Texts of
+any length are hashed in parts of bounded size; of ties in ``keep_one`` the
+smallest row stays. Columns beside id and text are not read by
+``near_duplicates`` and kept by ``keep_one``, whatever their names, but for
+those that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbase.llm.common import by_size, staged
+from signalbase.llm.common import by_size, one_of_each, spread_join, staged, text_hash
 
 SEGMENT_BITS = 32
 MAX_DISTANCE = 2
@@ -55,15 +59,15 @@ def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed 64-bit number."""
+    """(id, v, fp): the text's hash, and its fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches):
-            fp = [fingerprint_of(t, shingle_words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "fp"])
+            fp = [fingerprint_of(t, shingle_words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "v", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return df.select(F.col(id_col).alias("id"), text_hash(text).alias("v"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, v bigint, fp bigint")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -84,16 +88,20 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     spread = F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))
     varies = F.expr("shiftrightunsigned(spread, bit) & 1L") == 1
     # Two that agree in all of a segment meet in each of its variants; only the first is kept for them.
-    buckets = (
-        variants(fps).groupBy("bit", "key").agg(F.count("*").alias("n"), spread.alias("spread")).filter((F.col("n") > 1) & (first | varies))
-    )
-    index = staged(variants(fps).join(buckets, ["bit", "key"]), "simhash-index")
+    buckets = variants(fps).groupBy("bit", "key").agg(F.count("*").alias("n"), spread.alias("spread"), F.min("fp").alias("least"), F.max("fp").alias("most"))
+    buckets = staged(buckets.filter((F.col("n") > 1) & (first | varies)), "simhash-buckets")
+    # Two members are known from the bucket itself; the index is joined only for more.
+    twos = buckets.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    twos = twos.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+    rows = 64 * fps.count()
+    more = buckets.filter("n > 2").select("bit", "key", "n", "spread")
+    index = staged(spread_join(variants(fps), more, ["bit", "key"], rows), "simhash-index")
 
     small = index.filter(F.col("n") <= pair_limit).select("bit", "key", "fp")
     other = small.select("bit", "key", F.col("fp").alias("fp2"))
     differ = F.col("fp").bitwiseXOR(F.col("fp2"))
     joined = small.join(other, ["bit", "key"]).filter((F.col("fp") < F.col("fp2")) & (F.bit_count(differ) <= MAX_DISTANCE))
-    pairs = joined.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    pairs = twos.unionByName(joined.select(F.col("fp").alias("a"), F.col("fp2").alias("b")))
 
     # Wildcards of a large bucket: its own bit with any bit that varies; in the first variant, any two of them.
     places = F.expr("filter(sequence(0, 63), p -> (shiftrightunsigned(spread, p) & 1L) = 1)")
@@ -113,46 +121,49 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of the two star operations of Kiveris et al. (2014): each round's
     edges are written to the shared folder; only a count comes to the driver.
+    The edges of a vertex of very many neighbours are not brought together.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "star")
-    state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    sums = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    state = now.agg(*sums).first()
     while True:
         # Large star: the larger neighbours of a vertex move to its smallest one.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        moved = spread_join(both.filter("v > u"), least, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: the smaller neighbours of a vertex, and itself, move to the smallest of them.
-        smallest = moved.groupBy("u").agg(F.min("v").alias("m"))
-        back = moved.join(smallest, "u")
+        smallest = moved.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        back = spread_join(moved, smallest, ["u"], state["n"])
         nxt = back.select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         now = staged(nxt, "star")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = now.agg(*sums).first()
         if new == state:
-            break
+            return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
         state = new
-    roots = now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return roots
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row."""
+def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3, pair_limit: int = PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Every row as (id, v, fp), and every fingerprint as (fp, n, least, root): its rows, their smallest id, its class."""
     hashed = staged(fingerprints(df, id_col, text, shingle_words), "simhash")
-    fps = staged(hashed.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    fps = staged(hashed.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(fps.select("fp"), pair_limit))
-    # Fingerprints without a link are their own class; the others take the smallest id of their root's class.
+    # Fingerprints without a link are their own class.
     labelled = fps.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labelled = staged(labelled, "simhash-roots")
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = labelled.join(ids, "root").select("fp", "component_id")
-    return hashed.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
+    return hashed, staged(labelled, "simhash-roots")
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: the one whose id is the class id, once where rows repeat.
 
-    Rows with a null id cannot be named by a class: they take no part and stay.
-    """
-    named = df.filter(F.col(id_col).isNotNull())
-    keep = near_duplicates(named, id_col, text).select(F.col("component_id").alias(id_col)).distinct()
-    kept = named.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """(id_col, fingerprint, component_id) for every row."""
+    hashed, labelled = classes(df, id_col, text, shingle_words, pair_limit)
+    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = spread_join(labelled.select("fp", "root"), ids, ["root"], labelled.count()).select("fp", "component_id")
+    of = staged(of.join(labelled.select("fp", "n"), "fp"), "simhash-classes")
+    out = spread_join(hashed.select("id", "fp"), of, ["fp"], hashed.count())
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
+    """One row of each class, of its smallest id; rows of equal id and different text are told apart."""
+    hashed, labelled = classes(df, id_col, text, shingle_words)
+    texts = hashed.groupBy("v").agg(F.min("fp").alias("fp")).join(labelled.select("fp", "root"), "fp")
+    return one_of_each(df, texts.select("v", "root"), id_col, text)
