@@ -1,24 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their tag path, from the root to the leaf.
-For each path the mean text length and the mean number of punctuation marks
-of its nodes are its two ratios. In page order, the ratios of the nodes'
-paths are smoothed by a Gaussian window and fused by multiplication; paths
-whose fused ratio reaches a threshold (a share of the standard deviation) are
-content. The deepest part of the page that encloses nearly all content text, or
-the article or main element around it, is the article, and all its text is
-taken, so that short paragraphs and titles stay.
-
-Elements that are never an article (navigation, header and footer of the
-page, scripts, styles), forms, and those whose class or id names an advert, a
-notice, a sidebar or reader comments are left out beforehand; an element
-named so that holds the page's article all the same is its frame, and stays,
-as does a form or an element of a doubtful name that holds most of the text.
+A page's text nodes (stretches of text between block boundaries) are grouped
+by their tag path, the tags and class names from the root to the leaf. For
+each path the mean text length and the mean number of punctuation marks of its
+nodes are its two ratios. Both are smoothed twice: in page order by a Gaussian
+window, so that titles and short paragraphs gain from the text around them,
+and down the tree, where a path has a share of the ratios of the paths that
+enclose it, so that lists and tables gain from their article. The smoothed
+ratios are fused by multiplication; the nodes of the paths whose fused ratio
+reaches a threshold, a share of the text-weighted mean, are the main text.
+
+Tags that mark navigation, headers, footers, sidebars and forms, and class or
+id names of adverts, notices, sidebars and reader comments, are a prior: a
+factor on the ratios of the paths below them. It is not applied where the
+element holds the page's article all the same (a main or article element, the
+title, or for a doubtful name most of the text).
 
 Defined cases: a null, empty or textless page gives an empty text; unclosed
 and stray tags are closed as browsers do for paragraphs, list items and table
-cells, else ignored; repeated rows give equal results; an empty table gives
-an empty result.
+cells, else ignored; a tag that never ends is text; a page of which every
+text lies in such elements has no main text; pages of any length and take linear time; repeated rows and ties give equal results; an empty table
+gives an empty result; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -34,15 +36,20 @@ from pyspark.sql import functions as F
 
 from signalbase.llm.common import by_size
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LEFT_OUT = frozenset("nav header footer aside script style template noscript head button dialog menu".split())
+#: A tag with quoted attributes. Its parts are possessive, so that one attempt reads a character once.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
+#: Elements whose content is no text of the page.
+OPAQUE = frozenset("script style template noscript textarea svg iframe select".split())
+CLOSING = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in OPAQUE}
+LEFT_OUT = frozenset("nav header footer aside head button dialog menu".split())
 LEFT_OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|sidebar|aside|widget|related|recommend\w*|"
     r"share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|topbar|login|signup|search|toc)(?:$|[\s_-])|(?:^|\s)tags?(?:[_-](?:list|links|cloud|s))?(?:$|\s)",
     re.I,
 )
-#: Of those, names that articles' own subjects and frames have as well: an element that holds most of a page's text is not left out for one of them.
+#: Of those, names that articles' own subjects and frames have as well: an element that holds most of a page's text is not held to be one of them.
 DOUBTFUL_NAMES = re.compile(
     r"(?:^|(?<=[\s_-]))(?:promo\w*|notices?|alerts?|widget|related|recommend\w*|share|sharing|social|replies|reply|discussion|login|signup|search|tags?|toc)(?=$|[\s_-])",
     re.I,
@@ -54,163 +61,237 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-BOUNDARY = frozenset("article section div main td ul ol table body blockquote li".split())
-PUNCTUATION = str.maketrans("", "", ".,;:!?…。，；：！？、")
+HOLDS_PARAGRAPHS = frozenset("td th table article".split())
+MARKS = str.maketrans("", "", ".,;:!?…。，；：！？、")
 SPACE_RUN = re.compile(r"\s+")
+NUMBERS = re.compile(r"[0-9]+")
 
-#: What an article may be; lists, tables and quotations are parts of one.
-PARTS = frozenset("article section div main body".split())
-
+#: Nodes on either side that page-order smoothing reaches.
 WINDOW_NODES = 2
-THRESHOLD = 0.5
-NEARLY_ALL = 0.9
-TITLED = 1.25
+#: What an enclosing path's ratio counts for one level further down.
+INHERITED = 0.6
+#: The factor on ratios below an element that is likely no article.
+PRIOR = 0.02
+#: The share of the text-weighted mean of fused ratios that a path needs.
+THRESHOLD = 0.05
 
 
-class Block:
-    """A stretch of text between block boundaries: ``at`` are the numbers of the elements around it, from the root, ``left_out`` those of them that a name leaves out."""
+class Page:
+    """Text nodes in page order, and the tree of tag paths that they lie on.
 
-    __slots__ = ("at", "path", "left_out", "text")
+    ``paths[k]`` is (path above it or -1, its label); ``nodes`` are (path,
+    text, mistrusted elements around it).
+    """
 
-    def __init__(self, at: tuple[int, ...], path: str, left_out: tuple[int, ...], text: str):
-        self.at, self.path, self.left_out, self.text = at, path, left_out, text
+    def __init__(self, page: str):
+        self.paths: list[tuple[int, str]] = [(-1, "")]
+        self.nodes: list[tuple[int, str, tuple[int, ...]]] = []
+        self.trusted: set[int] = set()
+        self._known: dict[tuple[int, str], int] = {}
+        self._parts: list[str] = []
+        self._where: tuple[int, tuple[int, ...]] = (0, ())
+        # Of each open element: its tag, its path, the mistrusted elements around it and itself.
+        self._open: list[tuple[str, int, tuple[int, ...]]] = [("", 0, ())]
+        self._at: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
+        self._doubtful: set[int] = set()
+        self._in_article = 0
+        self._count = 0
+        self._parse(page)
+        self._end_node()
+        self._trust()
 
+    def _parse(self, page: str) -> None:
+        at, size, last_end, quoted = 0, len(page), page.rfind(">"), True
+        while at < size:
+            start = page.find("<", at)
+            if start < 0 or start > last_end and not page.startswith("<!--", start):
+                self._text(page[at:])  # no tag ends after this place
+                return
+            if start > at:
+                self._text(page[at:start])
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if page[start + 1 : start + 2] in ("!", "?"):
+                at = page.find(">", start) + 1
+                continue
+            found = TAG.match(page, start) if quoted else None
+            if found is None:
+                found = PLAIN_TAG.match(page, start)
+                # A quote that never ends: from here on a tag ends at the next bracket.
+                quoted = quoted and found is None
+            if found is None:
+                self._text("<")
+                at = start + 1
+                continue
+            at, tag = found.end(), found[2].lower()
+            if tag in OPAQUE and not found[1]:
+                end = CLOSING[tag].search(page, at)
+                if end is None:
+                    return  # as browsers do, the rest of the page belongs to it
+                at = end.end()
+                if tag not in INLINE:
+                    self._end_node()
+            elif found[1]:
+                self._close(tag)
+            else:
+                self._start(tag, found[3])
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text outside left-out elements, references decoded and white space collapsed."""
-    # Of each open element: its tag, its number, whether it is left out by its tag, and the elements around it that a name leaves out.
-    stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]
-    out: list[Block] = []
-    parts: list[str] = []
-    where: tuple[tuple[int, ...], str, tuple[int, ...]] = ((0,), "", ())
-    holds_article: set[int] = set()
-    doubtful: set[int] = set()
-    number = 0
+    def _text(self, raw: str) -> None:
+        if not self._parts:
+            k = self._blocks[-1] if self._blocks else 0
+            self._where = self._open[k][1], self._open[-1][2]
+        self._parts.append(raw)
 
-    def end_block() -> None:
-        if parts:
-            text = SPACE_RUN.sub(" ", entities.unescape("".join(parts))).strip()
+    def _end_node(self) -> None:
+        if self._parts:
+            text = SPACE_RUN.sub(" ", entities.unescape("".join(self._parts))).strip()
             if text:
-                out.append(Block(*where, text))
-            parts.clear()
-
-    for m in TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            if not stack[-1][2]:
-                if not parts:
-                    own = [x for x in stack if x[0] not in INLINE]
-                    where = tuple(x[1] for x in own), "/".join(x[0] for x in own), stack[-1][3]
-                parts.append(token)
-            continue
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
+                self.nodes.append((self._where[0], text, self._where[1]))
+            self._parts.clear()
+
+    def _push(self, tag: str, path: int, mistrusted: tuple[int, ...]) -> None:
+        self._at.setdefault(tag, []).append(len(self._open))
         if tag not in INLINE:
-            end_block()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "table", "article") and tag in ("p", "li", "span"):
-                    break
-            continue
+            self._blocks.append(len(self._open))
+        self._in_article += tag in ("article", "main")
+        self._open.append((tag, path, mistrusted))
+
+    def _pop_to(self, k: int) -> None:
+        while len(self._open) > k:
+            tag = self._open.pop()[0]
+            self._at[tag].pop()
+            if tag not in INLINE:
+                self._blocks.pop()
+            self._in_article -= tag in ("article", "main")
+
+    def _close(self, tag: str) -> None:
+        if tag not in INLINE:
+            self._end_node()
+        if places := self._at.get(tag):
+            held = max((self._at[x][-1] for x in HOLDS_PARAGRAPHS if self._at.get(x)), default=0)
+            if places[-1] > held or tag not in ("p", "li", "span"):
+                self._pop_to(places[-1])
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag not in INLINE:
+            self._end_node()
         if tag in CLOSES or tag in PARAGRAPH_ENDS:
             shut = CLOSES.get(tag, frozenset()) | ({"p"} if tag in PARAGRAPH_ENDS else set())
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0]
+            for k in reversed(self._blocks[-3:]):
+                name = self._open[k][0]
                 if name in shut:
-                    del stack[k:]
-                    break
-                if name not in INLINE and not (name in ("td", "th") and tag == "tr"):
+                    self._pop_to(k)
+                if name in shut and name != "td" or name not in ("td", "th") or tag != "tr":
                     break
-        if tag in VOID or (m[4] or "").endswith("/") and tag not in BOUNDARY:
-            continue
-        number += 1
-        by_tag, by_name, doubt = _left_out(tag, m[4] or "", stack)
-        if doubt:
-            doubtful.add(number)
-        if tag in ("main", "h1") or tag == "article" and not by_name:
-            # Whatever holds the article is the page's frame, not a part to be left out.
-            holds_article.update(stack[-1][3])
-        stack.append((tag, number, stack[-1][2] or by_tag, stack[-1][3] + (number,) * by_name))
-    end_block()
-    # Text that no other element leaves out, by the doubtful elements around it.
-    share: dict[int, int] = {}
-    total = 0
-    for b in out:
-        if all(e in holds_article or e in doubtful for e in b.left_out):
-            total += len(b.text)
-            for e in b.left_out:
-                share[e] = share.get(e, 0) + len(b.text)
-    holds_article.update(e for e, n in share.items() if e in doubtful and 2 * n > total)
-    return [b for b in out if holds_article.issuperset(b.left_out)]
-
-
-def _left_out(tag: str, attributes: str, stack: list) -> tuple[bool, bool, bool]:
-    """Whether an element's tag, or its tag form, class, id or role, says that it is no part of an article, and whether its share of the text may refute the latter."""
-    # An article's own header holds its title.
-    by_tag = tag in LEFT_OUT and not (tag == "header" and any(x[0] in ("article", "main") for x in stack))
-    if by_tag or tag in ("html", "body", "main") or "=" not in attributes:
-        return by_tag, tag == "form", tag == "form"
-    values = [LAYOUT_NAMES.sub("", a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)]
-    named = [v for v in values if LEFT_OUT_NAMES.search(v) or v.lower() in ROLES]
-    sure = any(LEFT_OUT_NAMES.search(DOUBTFUL_NAMES.sub("", v)) or v.lower() in ROLES - {"form", "search", "alert"} for v in named)
-    return by_tag, tag == "form" or bool(named), not sure and (tag == "form" or bool(named))
-
-
-def main_text(page: str | None) -> str:
-    """The article's text: its blocks in page order, joined by one space."""
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    lengths = np.array([len(b.text) for b in blocks], float)
-    marks = np.array([len(b.text) - len(b.text.translate(PUNCTUATION)) for b in blocks], float)
-    paths: dict[str, int] = {}
-    of = np.array([paths.setdefault(b.path, len(paths)) for b in blocks])
-    nodes = np.bincount(of)
-    text_ratio, mark_ratio = np.bincount(of, lengths) / nodes, np.bincount(of, marks) / nodes
+        if tag in VOID or attributes.endswith("/") and tag in INLINE:
+            return
+        above, around = self._open[-1][1], self._open[-1][2]
+        label, likely_not, doubt = self._judge(tag, attributes)
+        if tag in ("main", "h1") or tag == "article" and not likely_not:
+            # Whatever holds the article is the page's frame.
+            self.trusted.update(around)
+        if tag in INLINE:
+            # Inline elements are no part of a path, but a name of theirs may still tell.
+            path = above
+        else:
+            path = self._known.setdefault((above, label), len(self.paths))
+            if path == len(self.paths):
+                self.paths.append((above, label))
+        if likely_not:
+            self._count += 1
+            around = (*around, self._count)
+            if doubt:
+                self._doubtful.add(self._count)
+        self._push(tag, path, around)
+
+    def _judge(self, tag: str, attributes: str) -> tuple[str, bool, bool]:
+        """An element's label in paths, whether tag or names say that it is likely no article, and whether its share of the text may refute that."""
+        by_tag = tag in LEFT_OUT and not (tag == "header" and self._in_article)
+        if "=" not in attributes:
+            return tag, by_tag or tag == "form", tag == "form" and not by_tag
+        found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)]
+        classes = " ".join(sorted(NUMBERS.sub("", " ".join(v for k, v in found if k == "class")).lower().split()))
+        label = f"{tag}.{classes}" if classes else tag
+        if tag in ("html", "body", "main"):
+            return label, False, False
+        values = [LAYOUT_NAMES.sub("", v) for _, v in found]
+        named = [v for v in values if LEFT_OUT_NAMES.search(v) or v.lower() in ROLES]
+        sure = by_tag or any(LEFT_OUT_NAMES.search(DOUBTFUL_NAMES.sub("", v)) or v.lower() in ROLES - {"form", "search", "alert"} for v in named)
+        likely_not = by_tag or tag == "form" or bool(named)
+        return label, likely_not, likely_not and not sure
+
+    def _trust(self) -> None:
+        """Elements of doubtful names that hold most of the text that nothing else speaks against."""
+        share: dict[int, int] = {}
+        total = 0
+        for _, text, around in self.nodes:
+            if all(e in self.trusted or e in self._doubtful for e in around):
+                total += len(text)
+                for e in around:
+                    share[e] = share.get(e, 0) + len(text)
+        self.trusted.update(e for e, n in share.items() if e in self._doubtful and 2 * n > total)
+
+
+def scores(page: Page) -> tuple[np.ndarray, float]:
+    """The fused ratio of each node's path, and its text-weighted mean."""
+    lengths = np.array([len(t) for _, t, _ in page.nodes], float)
+    marks = np.array([len(t) - len(t.translate(MARKS)) for _, t, _ in page.nodes], float)
+    prior = np.array([1.0 if page.trusted.issuperset(around) else PRIOR for *_, around in page.nodes])
+    # A path below a mistrusted element and one of the same tags elsewhere are two.
+    named: dict[tuple[int, bool], int] = {}
+    of = np.array([named.setdefault((p, f == 1.0), len(named)) for (p, *_), f in zip(page.nodes, prior)])
+    count = np.bincount(of)
+    mean = lambda x: np.bincount(of, x) / count
+    above = np.array([p for p, _ in page.paths])
+    inside = np.bincount([p for p, *_ in page.nodes], prior, len(above))
+    text, mark = (np.bincount([p for p, *_ in page.nodes], x * prior, len(above)) for x in (lengths, marks))
+    for k in range(len(above) - 1, 0, -1):  # paths come after those that enclose them
+        for x in (inside, text, mark):
+            x[above[k]] += x[k]
+    every = [x[0] / inside[0] for x in (text, mark)]
+    common = inside >= inside[0] * (1 - 1e-9)  # what encloses everything says nothing about a part
+    text, mark = (np.where(common, 0.0, x / np.maximum(inside, 1e-9)) for x in (text, mark))
+    for k in range(1, len(above)):
+        for x in (text, mark):
+            x[k] = max(x[k], INHERITED * x[above[k]])
     reach = np.arange(-WINDOW_NODES, WINDOW_NODES + 1)
     kernel = np.exp(-(reach**2) / 2.0)
-    weight = np.convolve(np.ones(len(blocks)), kernel)[WINDOW_NODES:-WINDOW_NODES]
-    smooth = lambda r: np.convolve(r[of], kernel)[WINDOW_NODES:-WINDOW_NODES] / weight
-    fused = smooth(text_ratio) * (1 + smooth(mark_ratio))
-    of_path = np.bincount(of, fused) / nodes
-    content = (of_path >= min(THRESHOLD * fused.std(), of_path.max()))[of]
-    # The deepest part of a page that encloses nearly all of the content text; no list, table or quotation is one.
-    total, inside, names, places = lengths[content].sum(), {}, {}, {}
-    whole: dict[int, float] = {}
-    for b, n, c in zip(blocks, lengths, content):
-        for depth, (e, name) in enumerate(zip(b.at, b.path.split("/"))):
-            names[e], places[e] = name, (b.at, depth + 1)
-            whole[e] = whole.get(e, 0.0) + n
-            if c:
-                inside[e] = inside.get(e, 0.0) + n
-    around = lambda e: places[e][0][: places[e][1]] if e in places else ()
-    article = max((e for e, n in inside.items() if n >= NEARLY_ALL * total and (names[e] in PARTS or not e)), key=lambda e: places[e][1], default=0)
-    outer = [e for e in around(article) if names[e] in ("article", "main")]
-    if outer:
-        article = outer[-1]
-    # A title beside the part that holds the body, with little else.
-    titled = {e for b in blocks if "h1" in b.path.split("/") for e in b.at}
-    if article not in titled:
-        frames = [e for e in around(article) if e in titled and names[e] in PARTS - {"body"} and whole[e] <= TITLED * whole[article]]
-        article = frames[-1] if frames else article
-    if names.get(article) in ("", "body", None):  # nothing narrower encloses it: whatever holds content, and the title
-        depth = len(around(article))
-        holds = {b.at[depth] for b, c in zip(blocks, content) if c and len(b.at) > depth}
-        return " ".join(b.text for b, c in zip(blocks, content) if c or len(b.at) > depth and b.at[depth] in holds or "h1" in b.path.split("/"))
-    return " ".join(b.text for b in blocks if article in b.at)
-
-
-def extract_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    window = lambda x: np.convolve(x, kernel)[WINDOW_NODES:-WINDOW_NODES]
+    weight = window(np.ones(len(lengths)))
+    at = np.array([max(above[p], 0) for p, *_ in page.nodes])
+    title = np.array([page.paths[p][1].partition(".")[0] == "h1" for p, *_ in page.nodes])
+
+    def smooth(own: np.ndarray, tree: np.ndarray, of_all: float) -> np.ndarray:
+        near = window(mean(own * prior)[of]) / weight
+        # A page's title may stand apart from its text; it has a share of the whole page's ratio.
+        enclosing = np.where(title, np.maximum(tree[at], of_all), tree[at])
+        return np.maximum(near, INHERITED * enclosing * prior)
+
+    fused = smooth(lengths, text, every[0]) * (1 + smooth(marks, mark, every[1])) * prior
+    score = mean(fused)[of]
+    weight = lengths * prior
+    return score, score @ weight / weight.sum()
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+    """The text of the nodes whose paths reach the threshold, in page order, joined by one space."""
+    parsed = Page(page or "")
+    if all(not parsed.trusted.issuperset(around) for *_, around in parsed.nodes):
+        return ""
+    score, usual = scores(parsed)
+    return " ".join(t for (_, t, _), s in zip(parsed.nodes, score) if s >= threshold * usual)
+
+
+def extract_text(df: DataFrame, html: str = "html", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` without ``html``, with the main text and its number of code points."""
     rest = [c for c in df.columns if c not in (html, text, "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches):
-            found = [main_text(x) for x in batch.column(0).to_pylist()]
+            found = [main_text(x, threshold) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*rest, text, "n_chars"])
 
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in rest) + f"`{text}` string, n_chars bigint"

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -94,3 +95,30 @@ def test_forms_and_doubtful_names_around_an_article_stay(frame):
 def test_small_forms_and_doubtful_names_are_left_out():
     page = f"<body><div class=post><p>{BODY}</p><p>{BODY}</p><form><p>Write, to us, now.</p></form><div class='share-buttons'>Share, this, now.</div><div class=tags>a, b, c</div></div></body>"
     assert main_text(page) == f"{BODY} {BODY}"
+
+
+SHAPES = ["<a " * 200_000, "<div>x" * 20_000, '<a "' * 100_000 + ">", "<script " * 100_000, "<b>" * 50_000 + "<p>x</p>" * 50_000, "<p><td>" + "<div>" * 20_000 + "</p>" * 50_000, "<!" * 200_000, "<a b='>" * 100_000]
+
+
+@pytest.mark.parametrize("page", SHAPES, ids=range(len(SHAPES)))
+def test_odd_pages_take_linear_time(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_paths_below_the_threshold_are_left_out_whatever_their_names():
+    links = "".join(f"<li><a>Word {k}</a>" for k in range(12))
+    teasers = "".join(f"<div class=q><span>Other {k}</span></div>" for k in range(6))
+    page = f"<body><div class=x1><ul>{links}</ul></div><div class=z><h1>Head of it</h1><p>{BODY} {BODY}</p><h2>Part</h2><p>{BODY} {BODY}</p><p>Short.</p><p>{BODY}</p></div><div class=y>{teasers}</div></body>"
+    assert main_text(page) == f"Head of it {BODY} {BODY} Part {BODY} {BODY} Short. {BODY}"
+    assert "Word 3" in main_text(page, 0.0) and "Other 5" in main_text(page, 0.0)
+
+
+def test_the_threshold_decides_on_generated_pages(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert all(main_text(p) != main_text(p, 0.0) for p in pages)
+
+
+def test_a_page_without_an_article_is_empty():
+    assert main_text("<body><nav><a>Home</a></nav><footer><p>Imprint, privacy, and so on.</p></footer></body>") == ""
