@@ -8,7 +8,8 @@ window, so that titles and short paragraphs gain from the text around them,
 and down the tree, where a path has a share of the ratios of the paths that
 enclose it, so that lists and tables gain from their article. The smoothed
 ratios are fused by multiplication; the nodes of the paths whose fused ratio
-reaches a threshold, a share of the text-weighted mean, are the main text.
+(the median of their nodes') reaches a threshold, a share of the text-weighted
+mean, are the main text.
 
 Tags that mark navigation, headers, footers, sidebars and forms, and class or
 id names of adverts, notices, sidebars and reader comments, are a prior: a
@@ -271,7 +272,8 @@ def scores(page: Page) -> tuple[np.ndarray, float]:
         return np.maximum(near, INHERITED * enclosing * prior)
 
     fused = smooth(lengths, text, every[0]) * (1 + smooth(marks, mark, every[1])) * prior
-    score = mean(fused)[of]
+    # A path's score is the median of its nodes', so that a few beside the article do not lift the rest.
+    score = fused[np.lexsort((fused, of))[np.cumsum(count) - count + (count - 1) // 2]][of]
     weight = lengths * prior
     return score, score @ weight / weight.sum()
 
