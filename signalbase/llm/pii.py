@@ -2,12 +2,13 @@
 
 The base kinds (email, ip, card, phone) are found by regular expressions and
 checks. Their matches are the seeds of a bootstrap over the corpus: every
-identifier-like token (with an at sign, or six digits) is an instance, the
+identifier-like token (with an at sign, or four digits) is an instance, the
 words around it are its lexical patterns, and instance and pattern are the
 two sides of a graph. In each round a pattern's confidence for a kind is the
 share of its distinct instances that carry the kind, and an instance takes
-the kind of the patterns that are sure of it; what the surest patterns name
-in the end is a discovered identifier, and a span of that kind.
+the kind of the patterns that are sure of it, until a round names no more
+instances than the one before; what the surest patterns name in the end is a
+discovered identifier, and a span of that kind.
 
 All of it is DataFrame operations. Texts are read once; the graph holds
 candidates with their contexts only, aggregated to distinct pairs before it
@@ -15,7 +16,9 @@ is joined, so copies and frequent words weigh nothing.
 
 Defined cases: a null, empty or blank text has no span; repeated rows (equal
 id and text) have equal spans; rows of equal id and different text are kept
-apart; a null id is kept; an empty table gives an empty result.
+apart; of patterns that are equally sure the kind listed last counts; a null
+id is kept; an empty table gives an empty result; texts of any length take
+linear time. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -58,15 +61,17 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 
-#: A token with an at sign or with six digits, and further digit groups after single spaces.
+_RUN = r"[A-Za-z0-9@._%+()/-]"
+_NO_DIGIT = r"[A-Za-z._%+()/-]*+"
+#: A run with an at sign or with four digits, and further digit groups after single spaces. It is tried at the start of
+#: a run only, and its quantifiers are possessive: long runs take linear time. Marks at its ends are trimmed afterwards.
 IDENTIFIER = (
-    r"(?<![A-Za-z0-9@_%+])(?=[A-Za-z0-9._%+()/-]*+@|[A-Za-z._%+()/-]*+(?:[0-9][A-Za-z._%+()/\x20-]{0,2}){6})"
-    r"[A-Za-z0-9_%+(](?:[A-Za-z0-9@._%+()/-]*[A-Za-z0-9)])?+(?:\x20[0-9(](?:[0-9()./-]*[0-9)])?+)*+"
+    rf"(?<!{_RUN})(?=[A-Za-z0-9._%+()/-]*+@|{_NO_DIGIT}[0-9](?:{_NO_DIGIT}(?:\x20[(]?)?[0-9]){{3}})"
+    rf"{_RUN}++(?:\x20[0-9(][0-9()./-]*+)*+"
 )
-#: Code points on either side that a candidate's context words are taken from.
-CONTEXT_CHARS = 60
+#: Marks that an identifier neither begins nor ends with.
+LEADING, TRAILING = "@.%/)-", "@._%+(/-"
 
-ROUNDS = 3
 #: Distinct instances of a kind that a pattern needs, its confidence, and the score an instance needs.
 SUPPORT = 3
 CONFIDENCE = 0.8
@@ -102,29 +107,39 @@ def joined(spans: Column) -> Column:
 
 
 def candidates(text: Column, spans: Column) -> Column:
-    """Identifier-like tokens with the words around them and the rank of the base kind that covers them (null: none)."""
-    word = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}:=#]+$", ""))
-
-    def one(m: Column) -> Column:
-        before = F.filter(F.split(F.substring(m["before"], -CONTEXT_CHARS, CONTEXT_CHARS), r"\s+"), lambda w: w != "")
-        after = F.filter(F.split(F.substring(m["after"], 1, CONTEXT_CHARS), r"\s+"), lambda w: w != "")
+    """Identifier-like tokens with the words around them and the rank of the base kind that covers them (null: none).
+
+    The words are the last and first of the text between a token and its
+    neighbours, whatever their length; where there is none, the neighbour is it.
+    """
+    inner = r"(?<=[\p{L}\p{N}:=#])[^\p{L}\p{N}:=#]++$"
+    word = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]++|" + inner, ""))
+    cut = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+
+    def one(m: Column, left: Column, right: Column) -> Column:
+        bare = F.ltrim(m["match"], F.lit(LEADING))
+        start = m["start"] + F.length(m["match"]) - F.length(bare)
+        value = F.rtrim(bare, F.lit(TRAILING))
         seed = F.filter(spans, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
         return F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.lower(m["match"]).alias("instance"),
-            let(before, lambda b: word(F.get(b, F.size(b) - 1))).alias("left1"),
-            let(before, lambda b: word(F.get(b, F.size(b) - 2))).alias("left2"),
-            word(F.get(after, F.lit(0))).alias("right1"),
+            start.alias("start"),
+            (start + F.length(value)).alias("end"),
+            F.lower(value).alias("instance"),
+            let(cut(left), lambda b: F.struct(word(F.get(b, F.size(b) - 1)).alias("left1"), word(F.get(b, F.size(b) - 2)).alias("left2"))).alias("left"),
+            word(F.get(cut(right), F.lit(0))).alias("right1"),
             F.get(seed, F.lit(0))["rank"].alias("rank"),
         )
 
-    return F.transform(found(text, IDENTIFIER), one)
+    def each(ms: Column) -> Column:
+        near = lambda i: F.regexp_replace(F.coalesce(F.get(ms, i)["match"], F.lit("")), r"\s++", "")
+        return F.transform(ms, lambda m, i: one(m, F.concat_ws(" ", near(i - 1), m["before"]), F.concat_ws(" ", m["after"], near(i + 1))))
+
+    return F.filter(let(found(text, IDENTIFIER), each), lambda c: c["end"] > c["start"])
 
 
 def _patterns(cands: DataFrame) -> DataFrame:
     """A row for each candidate and lexical pattern around it."""
-    l1, l2, r1 = (F.col("c")[x] for x in ("left1", "left2", "right1"))
+    l1, l2, r1 = F.col("c")["left"]["left1"], F.col("c")["left"]["left2"], F.col("c")["right1"]
     ok = lambda *x: F.forall(F.array(*x), lambda w: F.coalesce(F.length(w) > 0, F.lit(False)))
     each = F.array(
         F.when(ok(l1), F.concat(F.lit("L "), l1)),
@@ -135,23 +150,33 @@ def _patterns(cands: DataFrame) -> DataFrame:
 
 
 def discover(cands: DataFrame) -> DataFrame:
-    """The bootstrap over (key..., c): rows of ``cands`` that sure patterns name, with the kind's rank."""
+    """The bootstrap over (key..., c): rows of ``cands`` that sure patterns name, with the kind's rank.
+
+    Each round names more instances than the one before, or is the last.
+    """
     rows = _patterns(cands)
     edges = staged(
         rows.groupBy("pattern", F.col("c")["instance"].alias("instance")).agg(F.max(F.col("c")["rank"]).alias("seed")),
         "pii-edges",
     )
-    known = edges.filter(F.col("seed").isNotNull()).groupBy("instance").agg(F.max("seed").alias("rank")).withColumn("score", F.lit(1.0))
-    sure = None
-    for _ in range(ROUNDS):
-        totals = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = staged(edges.filter(F.col("seed").isNotNull()).groupBy("instance").agg(F.max("seed").alias("rank")).withColumn("score", F.lit(1.0)), "pii-seeds")
+    totals = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-totals")
+    known, sure, named = seeds, None, -1
+    while True:
+        # Only patterns with enough known instances go on; each instance counts once for a pattern.
         support = edges.join(known, "instance").groupBy("pattern", "rank").agg(F.sum("score").alias("w"), F.count("*").alias("k"))
-        sure = support.filter(F.col("k") >= SUPPORT).join(totals, "pattern").withColumn("confidence", F.col("w") / (F.col("n") + 0.5))
-        sure = staged(sure.filter(F.col("confidence") >= CONFIDENCE).select("pattern", F.col("rank").alias("named"), "confidence"), "pii-patterns")
+        now = support.filter(F.col("k") >= SUPPORT).join(totals, "pattern").withColumn("confidence", F.col("w") / (F.col("n") + 0.5))
+        now = staged(now.filter(F.col("confidence") >= CONFIDENCE).select("pattern", F.col("rank").alias("named"), "confidence"), "pii-patterns")
         # Each instance takes its best kind from the patterns that name it; seeds keep theirs.
-        best = edges.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", F.col("named").alias("rank"))).alias("b"))
-        gained = best.select("instance", F.col("b.rank").alias("rank"), F.col("b.confidence").alias("score"))
-        known = staged(known.filter("score = 1.0").unionByName(gained.join(known.filter("score = 1.0"), "instance", "left_anti")), "pii-known")
+        best = edges.filter("seed IS NULL").join(now, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", F.col("named").alias("rank"))).alias("b"))
+        gained = best.join(seeds, "instance", "left_anti").select("instance", F.col("b.rank").alias("rank"), F.col("b.confidence").alias("score"))
+        gained = staged(gained, "pii-gained")
+        before, named = named, gained.count()
+        if sure is None or named > before:
+            sure = now
+        if named <= max(before, 0):
+            break
+        known = seeds.unionByName(gained)
     hits = rows.filter(F.col("c")["rank"].isNull()).join(sure, "pattern")
     return hits.select(*[c for c in cands.columns if c != "c"], "c", "named", "confidence")
 
