@@ -65,6 +65,7 @@ TRUSTED_MODELS = ("glm-5.2", "gpt-5.4-mini")
 CHIP_LABELS = {"query": "检索", "date": "日期", "category": "分类", "type": "类型", "alert": "预警"}
 ALERT_LABELS = {"yes": "预警", "no": "非预警"}
 
+#: Page sizes, limits and cuts of texts.
 PAGE_SIZE = 40
 SNAPSHOT_ROWS = 500
 EVIDENCE_ROWS = 30
@@ -74,5 +75,28 @@ KEY_METRICS = 8
 PARAMS_PER_RECORD = 8
 EVIDENCE_CHARS = 220
 REQUEST_CHARS = 800
+SINGLE_REQUEST_CHARS = 900
 SUMMARY_CHARS = 300
 TARGET_ROWS = 38121
+
+#: What begins the reason of a record whose answer never came in form, and how much of the answer follows.
+FAILURES = {"batch": ("LLM batch parse failed: ", 120), "date": ("LLM batch output parse failed: ", 160), "single": ("LLM output parse failed: ", 180)}
+#: Workers, batches after which answers are kept, and seconds that a call may take, alone or for a batch.
+WORKERS = 6
+FLUSH_BATCHES = 50
+SECONDS = {"batch": 300.0, "date": 300.0, "single": 90.0}
+
+#: The classification job's constant parts.
+JOB_EXTRACTOR = "v4-classification-batch"
+JOB_PHASES = {"phase_1": "keyword_and_taxonomy_candidates", "phase_2": "small_model_choice_within_candidates", "phase_3": "low_confidence_review_only"}
+JOB_CACHE_KEY = ("url", "content_hash", "taxonomy_version", "extractor_version")
+JOB_RULES = (
+    "Prefer 零碳产业 and AI与智能科技 over 通用技术 when applicable.",
+    "Use 不相关 for records outside the tracked technology boundary.",
+)
+JOB_NOTES = ("Do not classify full text freely.", "Prefer candidate-restricted classification.", "Keep audit trail for every decision.")
+
+#: Keys of the meta document, in order, and its defaults.
+META_KEYS = ("records_total", "records_by_type", "source_files", "taxonomy_version", "extractor_version", "processed_at", "warnings")
+EXTRACTOR = "v3-sharded"
+UNKNOWN = "unknown"

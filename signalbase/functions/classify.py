@@ -71,16 +71,26 @@ def _salvaged(text: Column, first: str, last: str) -> Column:
     return F.coalesce(F.nullif(inner, F.lit("")), bare)
 
 
+def _typed(result: Column) -> Column:
+    """A result with its id and confidence as numbers, null where they are none."""
+    return F.struct(
+        result["id"].try_cast("bigint").alias("id"),
+        result["category"].alias("category"),
+        result["confidence"].try_cast("double").alias("confidence"),
+        result["reason"].alias("reason"),
+    )
+
+
 def parse_model_array(text: Column) -> Column:
     """The JSON array in a model's answer, code fences and chatter stripped; null where it does not parse."""
-    return F.from_json(_salvaged(text, "[", "]"), T.ArrayType(schema.MODEL_RESULT))
+    return F.transform(F.from_json(_salvaged(text, "[", "]"), T.ArrayType(schema.MODEL_RESULT)), _typed)
 
 
 def parse_model_object(text: Column) -> Column:
     """The JSON object in a model's answer; null where it does not parse."""
     inner = _salvaged(text, "{", "}")
     # from_json alone gives a row of nulls for what is no JSON.
-    return F.when(F.get_json_object(inner, "$").startswith("{"), F.from_json(inner, schema.MODEL_RESULT))
+    return F.when(F.get_json_object(inner, "$").startswith("{"), _typed(F.from_json(inner, schema.MODEL_RESULT)))
 
 
 def coerced(result: Column, vocabulary: Sequence[str]) -> Column:

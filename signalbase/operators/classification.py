@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbase import config, schema
 from signalbase.functions import classify, text
 from signalbase.operators.numbering import numbered
-from signalbase.sources.shared import staged
+from signalbase.sources.shared import shared_dir, staged
 
 
 def pending(records: DataFrame, model: str, date: str = "", month: str = "", resume: bool = False) -> DataFrame:
@@ -70,7 +74,7 @@ def merge_results(rows: DataFrame, answers: DataFrame, vocabulary: Sequence[str]
     return joined.withColumn("_r", F.when(missing, none).otherwise(good)).drop("result").select("*", "_r.*").drop("_r")
 
 
-def fallback(answer: Column, prefix: str = "LLM batch parse failed: ", chars: int = 120) -> Column:
+def fallback(answer: Column, prefix: str = config.FAILURES["batch"][0], chars: int = config.FAILURES["batch"][1]) -> Column:
     """The result of a row whose batch never came back in form."""
     return F.struct(F.lit(config.UNRELATED).alias("category"), F.lit(0.0).alias("confidence"), F.concat(F.lit(prefix), F.substring(F.coalesce(answer, F.lit("")), 1, chars)).alias("reason"))
 
@@ -100,15 +104,50 @@ def progress(records: DataFrame, model: str, date: str = "") -> DataFrame:
 
 
 Classifier = Callable[[str], str]
+ANSWERS = "month string, batch bigint, key bigint, answer string"
 
 
-def ask(requests: DataFrame, classifier: Classifier, attempts: int = 3, pause: float = 1.0, workers: int | None = None) -> DataFrame:
-    """(month, batch, answer): the model's text for each batch (month, batch, items), after up to ``attempts`` tries.
+def parses(answer: str, single: bool = False) -> bool:
+    """Whether an answer holds the JSON array that a batch asks for, or the object of a single record."""
+    first, last = ("{", "}") if single else ("[", "]")
+    inner = answer[answer.find(first) : answer.rfind(last) + 1]
+    try:
+        return isinstance(json.loads(inner), dict if single else list)
+    except ValueError:
+        return False
+
+
+def ask(requests: DataFrame, classifier: Classifier, attempts: int = 3, pause: float = 1.0, workers: int = config.WORKERS, seconds: float | None = None, single: bool = False) -> DataFrame:
+    """(month, batch, key, answer): the model's text for each batch (month, batch, items), after up to ``attempts`` tries.
 
     The model is the one thing that Spark cannot express; ``classifier`` takes a
-    batch's JSON and returns text. Where all tries fail the last error is the answer.
+    batch's JSON and returns text. It is asked again where it fails, takes more
+    than ``seconds`` or gives what does not parse; where all tries fail the last
+    answer or error stays. Batches are dealt to ``workers`` tasks. A call that is
+    given up is not waited for; its thread ends with the call.
     """
 
+    def once(items: str) -> str:
+        if seconds is None:
+            return classifier(items)
+        box = []
+
+        def call() -> None:
+            try:
+                box.append((True, classifier(items)))
+            except Exception as error:
+                box.append((False, error))
+
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not box:
+            raise TimeoutError(f"no answer after {seconds:g} s")
+        good, value = box[0]
+        if not good:
+            raise value
+        return value
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             answers = []
@@ -116,17 +155,42 @@ def ask(requests: DataFrame, classifier: Classifier, attempts: int = 3, pause: f
                 last = ""
                 for attempt in range(attempts):
                     try:
-                        last = classifier(items)
-                        break
+                        last = once(items) or ""
+                        if parses(last, single):
+                            break
                     except Exception as error:  # the model's, whatever it is
                         last = str(error)
-                        if attempt + 1 < attempts:
-                            time.sleep(pause * (1 + attempt))
+                    if attempt + 1 < attempts:
+                        time.sleep(pause * (1 + attempt))
                 answers.append(last)
-            yield part[["month", "batch"]].assign(answer=answers)
+            yield part[["month", "batch", "key"]].assign(answer=answers)
+
+    keyed = requests.select("month", "batch", F.xxhash64("items").alias("key"), "items")
+    return keyed.repartition(workers).mapInPandas(run, "month string, batch bigint, key bigint, answer string")
 
-    spread = requests.repartition(workers, "month", "batch") if workers else requests
-    return spread.mapInPandas(run, "month string, batch bigint, answer string")
+
+def ask_and_keep(requests: DataFrame, classifier: Classifier, folder: str, flush: int = config.FLUSH_BATCHES, **how) -> DataFrame:
+    """The answers to all requests, kept below ``folder`` after about every ``flush`` batches.
+
+    What an earlier run has kept there for the same batch and the same request
+    is not asked again, so a run that broke off goes on where it was.
+    """
+    spark = requests.sparkSession
+    requests = staged(requests, "requests")
+    waves = max(1, -(-requests.count() // flush))
+    for wave in range(waves):
+        todo = requests.filter(F.pmod(F.xxhash64("month", "batch"), F.lit(waves)) == wave)
+        try:
+            kept = spark.read.schema(ANSWERS).parquet(folder)
+            same = (kept["month"].eqNullSafe(todo["month"])) & (kept["batch"] == todo["batch"]) & (kept["key"] == F.xxhash64(todo["items"]))
+            todo = todo.join(kept, same, "left_anti")
+        except AnalysisException:
+            pass  # nothing is kept yet
+        ask(todo, classifier, **how).write.mode("append").parquet(folder)
+    kept = spark.read.schema(ANSWERS).parquet(folder)
+    asked = requests.select("month", "batch", F.xxhash64("items").alias("key"))
+    # A wave that was written twice (its folder was kept, its run was not) gives one answer.
+    return asked.join(kept.groupBy("month", "batch", "key").agg(F.max("answer").alias("answer")), ["month", "batch", "key"]).drop("key")
 
 
 def prompts(requests: DataFrame, template: str) -> DataFrame:
@@ -150,24 +214,36 @@ def classify_records(
     pause: float = 1.0,
     template: str = "{items}",
     single: bool = False,
+    workers: int = config.WORKERS,
+    seconds: float | None = None,
+    answers_folder: str | None = None,
+    flush: int = config.FLUSH_BATCHES,
 ) -> DataFrame:
     """``records`` after a run of the model over what is pending.
 
     With ``single`` each record is asked for alone and answered by one JSON
     object; else a batch is answered by an array. A limit then counts records.
+    ``workers`` tasks ask side by side; a call may take ``seconds`` (by default
+    as long as that kind of run allows). Answers are kept in ``answers_folder``
+    after every ``flush`` batches, and a run that is started again with the
+    same folder asks only for the rest.
     """
+    form = "single" if single else "date" if date else "batch"
     rows = pending(records, model, date, month, resume)
     if single:
         batch_size, rows = 1, limit_exact(rows, limit, order)
     rows = limit_by_batch(batches(rows, batch_size, order), batch_size, 0 if single else limit)
     asked = rows.select("month", "batch", "idx", "ingest_ord")
-    answers = ask(prompts(request_items(rows), template), classifier, attempts, pause)
+    requests = prompts(request_items(rows, config.SINGLE_REQUEST_CHARS if single else config.REQUEST_CHARS), template)
+    folder = answers_folder or f"{shared_dir(records.sparkSession)}/signalbase/answers-{uuid.uuid4().hex}"
+    how = {"attempts": attempts, "pause": pause, "workers": workers, "seconds": config.SECONDS[form] if seconds is None else seconds, "single": single}
+    answers = ask_and_keep(requests, classifier, folder, flush, **how)
     if single:
         one = classify.parse_model_object(F.col("answer"))
-        results = F.when(one.isNotNull(), F.array(F.struct(F.col("batch").cast("int").alias("id"), one["category"].alias("category"), one["confidence"].alias("confidence"), one["reason"].alias("reason"))))
-        failure = fallback(F.col("answer"), "LLM output parse failed: ", 180)
+        results = F.when(one.isNotNull(), F.array(F.struct(F.col("batch").alias("id"), one["category"].alias("category"), one["confidence"].alias("confidence"), one["reason"].alias("reason"))))
     else:
-        results, failure = classify.parse_model_array(F.col("answer")), fallback(F.col("answer"))
+        results = classify.parse_model_array(F.col("answer"))
+    failure = fallback(F.col("answer"), *config.FAILURES[form])
     # The model is asked once: its answers are kept before they are read twice.
     answers = staged(answers.withColumn("results", results).withColumn("_f", failure), "answers")
     parsed = answers.filter(F.col("results").isNotNull()).select("month", "batch", F.posexplode("results").alias("pos", "result"))

@@ -9,18 +9,18 @@ from pyspark.sql import SparkSession
 from signalbase import config
 from signalbase.operators.knowledge import knowledge_docs
 from signalbase.operators.records import build_records, carry_forward
-from signalbase.plans.stats import BuildStats
+from signalbase.plans.stats import BuildReport
 from signalbase.sources.csv_drops import read_sources
 from signalbase.sources.store import read_store, write_store
 
 
-def build(spark: SparkSession, roots: dict[str, str], folder: str, leaves: Sequence[config.Leaf] = (), taxonomy_version: str = "unknown", specs: Sequence[config.SourceSpec] = config.SOURCES, extract: bool = False, classify: bool = False) -> BuildStats:
+def build(spark: SparkSession, roots: dict[str, str], folder: str, leaves: Sequence[config.Leaf] = (), taxonomy_version: str = "unknown", specs: Sequence[config.SourceSpec] = config.SOURCES, extract: bool = False, classify: bool = False, form: str = "json") -> BuildReport:
     """Read all sources, overlay what the store at ``folder`` has classified, and write its next generation."""
-    stats = BuildStats(taxonomy_version=taxonomy_version)
-    records = build_records(read_sources(spark, roots, specs, stats), leaves, extract, classify)
+    report = BuildReport(taxonomy_version)
+    records = build_records(read_sources(spark, roots, specs, report), leaves, extract, classify)
     carried = carry_forward(records, read_store(spark, folder)).persist()
     try:
-        write_store(carried, folder, stats, knowledge_docs(carried, leaves))
+        write_store(carried, folder, report, knowledge_docs(carried, leaves), form)
     finally:
         carried.unpersist()
-    return stats
+    return report

@@ -159,7 +159,7 @@ add(
 )
 add(
     "request_items",
-    lambda s, d: classification.request_items(classification.batches(fx.records(s, d).filter(F.col("date") == TRACKED), 20, rec.newest_first())),
+    lambda s, d: classification.request_items(classification.batches(fx.records(s, d), 20, rec.newest_first())),
 )
 add(
     "knowledge_profile",
@@ -363,7 +363,7 @@ def keyword_model(items: str) -> str:
 
 
 def classify_stub(spark: SparkSession, d: str) -> DataFrame:
-    done = classification.classify_records(fx.classified(spark, d), keyword_model, fx.VOCABULARY, "stub", "offline", rec.newest_first(), month="2026-03")
+    done = classification.classify_records(fx.classified(spark, d), keyword_model, fx.VOCABULARY, "stub", "offline", rec.newest_first(), flush=1 << 30)
     return done.select("ingest_ord", "date", "category", "classification_confidence", "classification_reason", "classifier_model")
 
 

@@ -17,24 +17,24 @@ from pyspark.sql import functions as F
 from signalbase import config
 from signalbase.functions import text
 from signalbase.operators.records import union_sources
-from signalbase.plans.stats import BuildStats
+from signalbase.plans.stats import BuildReport
 
 RAW = "file_name string, row long, cells map<string,string>"
 
 
-def discover(spark: SparkSession, root: str, spec: config.SourceSpec, stats: BuildStats | None = None) -> DataFrame | None:
+def discover(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None) -> DataFrame | None:
     """(path, file_name, content) of the source's files, or None (and a warning) where its folder is missing."""
     folder = f"{root.rstrip('/')}/{spec.subdir}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(hadoop):
-        if stats is not None:
-            stats.warnings.append(f"missing folder: {folder}")
+        if report is not None:
+            report.warnings.append(f"missing folder: {folder}")
         return None
-    if stats is not None:
+    if report is not None:
         # Spark's readers pass over files of no bytes, which count all the same.
         names = [s.getPath().getName() for s in system.listStatus(hadoop)]
-        stats.source_files += sum(n.endswith(".csv") and any(re.match(p, n) for p in spec.patterns) for n in names)
+        report.saw_files(spec.name, sum(n.endswith(".csv") and any(re.match(p, n) for p in spec.patterns) for n in names))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
     wanted = F.lit(False)
@@ -63,9 +63,9 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"file_name": name, "row": range(at, at + len(part)), "cells": part})
 
 
-def read_source(spark: SparkSession, root: str, spec: config.SourceSpec, stats: BuildStats | None = None) -> DataFrame:
+def read_source(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None) -> DataFrame:
     """(title, body, authors, url, date, source, intelligence_type, file_name, row) of one source."""
-    files = discover(spark, root, spec, stats)
+    files = discover(spark, root, spec, report)
     if files is None:
         raw = spark.createDataFrame([], RAW)
     else:
@@ -95,7 +95,7 @@ def _any_case(alias: str) -> Column:
     return F.get(alike, F.size(alike) - 1)
 
 
-def read_sources(spark: SparkSession, roots: dict[str, str], specs: Sequence[config.SourceSpec] = config.SOURCES, stats: BuildStats | None = None) -> DataFrame:
+def read_sources(spark: SparkSession, roots: dict[str, str], specs: Sequence[config.SourceSpec] = config.SOURCES, report: BuildReport | None = None) -> DataFrame:
     """All sources in the order of the registry; ``ingest_ord`` follows source, file name and row.
 
     ``roots`` maps source names to folders; a source without one is skipped with a warning.
@@ -103,9 +103,9 @@ def read_sources(spark: SparkSession, roots: dict[str, str], specs: Sequence[con
     parts = []
     for spec in specs:
         if spec.name in roots:
-            parts.append(read_source(spark, roots[spec.name], spec, stats))
-        elif stats is not None:
-            stats.warnings.append(f"no folder given for {spec.name}")
+            parts.append(read_source(spark, roots[spec.name], spec, report))
+        elif report is not None:
+            report.warnings.append(f"no folder given for {spec.name}")
     every = union_sources(parts)
     # A place in the order without a sort: source, day and row fit in one number.
     day = F.datediff(F.to_date(F.nullif("date", F.lit("unknown"))), F.lit("1970-01-01").cast("date"))

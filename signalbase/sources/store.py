@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalbase import config, schema
 from signalbase.functions import text
 from signalbase.operators.records import newest_first
-from signalbase.plans.stats import BuildStats
+from signalbase.plans.stats import BuildReport
 
 OPTIONS = {"ignoreNullFields": "false"}
+POINTER = "processed_at string, generation string, form string"
 
 
 def shard_counts(records: DataFrame) -> DataFrame:
@@ -52,17 +54,15 @@ def job_descriptor(meta: DataFrame, target: int = config.TARGET_ROWS, prompt_fil
     job = F.struct(
         F.col("processed_at").alias("created_at"),
         "taxonomy_version",
-        F.lit("v4-classification-batch").alias("extractor_version"),
+        F.lit(config.JOB_EXTRACTOR).alias("extractor_version"),
         F.lit(target).alias("target_unclassified"),
         F.struct(
-            F.lit("keyword_and_taxonomy_candidates").alias("phase_1"),
-            F.lit("small_model_choice_within_candidates").alias("phase_2"),
-            F.lit("low_confidence_review_only").alias("phase_3"),
-            strings("url", "content_hash", "taxonomy_version", "extractor_version").alias("cache_key"),
+            *(F.lit(v).alias(k) for k, v in config.JOB_PHASES.items()),
+            strings(*config.JOB_CACHE_KEY).alias("cache_key"),
         ).alias("strategy"),
         F.lit(prompt_file).alias("prompt_file"),
-        strings(f"Prefer {config.GROUP_ORDER[0]} and {config.GROUP_ORDER[1]} over {config.GROUP_ORDER[2]} when applicable.", f"Use {config.UNRELATED} for records outside the tracked technology boundary.").alias("priority_rules"),
-        strings("Do not classify full text freely.", "Prefer candidate-restricted classification.", "Keep audit trail for every decision.").alias("notes"),
+        strings(*config.JOB_RULES).alias("priority_rules"),
+        strings(*config.JOB_NOTES).alias("notes"),
     )
     return meta.select(F.to_json(job, {"ignoreNullFields": "false"}).alias("job"))
 
@@ -72,47 +72,96 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def write_store(records: DataFrame, folder: str, stats: BuildStats, knowledge: DataFrame | None = None) -> str:
+def manifest_document(records: DataFrame, meta: dict, index: str = "knowledge_index") -> dict:
+    """The manifest: the build's meta document, a line for each month, where the knowledge index is."""
+    return {"meta": meta, "shards": [r.asDict() for r in manifest(records).collect()], "knowledge_index": index}
+
+
+def _listed(rows: DataFrame, order: Sequence[Column], columns: Sequence[str], name: str) -> DataFrame:
+    """One row with ``rows``, of which there are few, as an ordered array of structs."""
+    place = F.struct(*(c.alias(f"k{k}") for k, c in enumerate(order)), F.struct(*columns).alias("row"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["row"]).alias(name))
+
+
+def snapshot_document(records: DataFrame, meta: dict, knowledge: DataFrame | None = None) -> DataFrame:
+    """One row: the newest records with the meta document and the knowledge documents, as JSON."""
+    place = F.row_number().over(Window.orderBy(*newest_first()))
+    head = _listed(snapshot_head(records).withColumn("_at", place), [F.col("_at")], records.columns, "records")
+    about = F.from_json(F.lit(json.dumps(meta, ensure_ascii=False)), F.schema_of_json(F.lit(json.dumps(meta, ensure_ascii=False))))
+    if knowledge is None:
+        docs = head.withColumn("knowledge", F.array().cast("array<string>"))
+    else:
+        listed = _listed(knowledge, [F.col("ord")], [c for c in knowledge.columns if c != "ord"], "knowledge")
+        docs = head.withColumn("one", F.lit(1)).join(listed.withColumn("one", F.lit(1)), "one")
+    return docs.select(F.to_json(F.struct(about.alias("meta"), "records", "knowledge"), OPTIONS).alias("value"))
+
+
+def write_store(records: DataFrame, folder: str, report: BuildReport, knowledge: DataFrame | None = None, form: str = "json", keep: int | None = None) -> str:
     """Write a generation of the store; returns its folder.
 
     ``records`` may come from the store itself: it is read from an older
-    generation. The pointer to the newest is written last.
+    generation. The pointer to the newest is written last. Shards are ``json``
+    lines, or ``parquet``, whose statistics and columns searches can use. With
+    ``keep``, older generations than that many go.
     """
+    if form not in ("json", "parquet"):
+        raise ValueError(f"no such form of a store: {form}")
     spark = records.sparkSession
     out = f"{folder.rstrip('/')}/generations/{uuid.uuid4().hex}"
     month = records.withColumn("month", text.month_key(F.col("date")))
     # Ranges of the record order: a month of any size is spread over as many tasks as it needs, and small ones share one.
-    spread = month.repartitionByRange(F.desc("month"), *newest_first())
-    spread.sortWithinPartitions(F.desc("month"), *newest_first()).write.partitionBy("month").options(**OPTIONS).json(f"{out}/processed")
-    shards = manifest(records)
-    counted = {r["intelligence_type"]: r["n"] for r in count_by_type(records).collect()}
-    stats.records_by_type, stats.records_total = counted, sum(counted.values())
-    shards.coalesce(1).write.json(f"{out}/manifest")
-    snapshot_head(records).coalesce(1).write.options(**OPTIONS).json(f"{out}/snapshot")
+    spread = month.repartitionByRange(F.desc("month"), *newest_first()).sortWithinPartitions(F.desc("month"), *newest_first())
+    writer = spread.write.partitionBy("month")
+    (writer.options(**OPTIONS) if form == "json" else writer).format(form).save(f"{out}/processed")
+    report.counted({r["intelligence_type"]: r["n"] for r in count_by_type(records).collect()})
+    meta = report.document()
+    dump_json(spark, f"{out}/meta", meta)
+    dump_json(spark, f"{out}/manifest", manifest_document(records, meta))
     if knowledge is not None:
+        knowledge = knowledge.withColumn("updated_at", F.lit(report.at))
         knowledge.write.partitionBy("category").json(f"{out}/knowledge")
-    dump_json(spark, f"{out}/meta", stats.to_dict())
-    pointers = f"{folder.rstrip('/')}/pointers"
-    spark.createDataFrame([(stats.processed_at, out)], "processed_at string, generation string").coalesce(1).write.mode("append").json(pointers)
+        listed = _listed(knowledge, [F.col("ord")], [c for c in knowledge.columns if c != "ord"], "documents")
+        listed.select(F.to_json(F.struct(F.lit(report.at).alias("generated_at"), "documents"), OPTIONS).alias("value")).write.text(f"{out}/knowledge_index")
+    snapshot_document(records, meta, knowledge).write.text(f"{out}/snapshot")
+    pointer = spark.createDataFrame([(report.at, out, form)], POINTER)
+    pointer.coalesce(1).write.mode("append").json(f"{folder.rstrip('/')}/pointers")
+    if keep:
+        prune(spark, folder, keep)
     return out
 
 
-def newest(spark: SparkSession, folder: str) -> str | None:
-    """The folder of the newest complete generation."""
+def generations(spark: SparkSession, folder: str) -> list:
+    """The complete generations of a store, newest first; one row each."""
     pointers = f"{folder.rstrip('/')}/pointers"
     if not _exists(spark, pointers):
-        return None
-    row = spark.read.schema("processed_at string, generation string").json(pointers).orderBy(F.desc("processed_at"), F.desc("generation")).first()
-    return row["generation"] if row else None
+        return []
+    return spark.read.schema(POINTER).json(pointers).orderBy(F.desc("processed_at"), F.desc("generation")).collect()
+
+
+def newest(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the newest complete generation."""
+    known = generations(spark, folder)
+    return known[0]["generation"] if known else None
+
+
+def prune(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Delete all complete generations but the newest ``keep``; returns those that went. No reader may be on them."""
+    gone = []
+    for row in generations(spark, folder)[max(1, keep) :]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(row["generation"])
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True):
+            gone.append(row["generation"])
+    return gone
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with ``month``; a filter on it prunes partitions. A store without a generation is empty."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.RECORD.fields)
-    at = newest(spark, folder)
-    if at is None:
-        return spark.createDataFrame([], f"{columns}, ingest_ord bigint, month string")
-    return spark.read.schema(f"{columns}, ingest_ord bigint, month string").option("mode", "PERMISSIVE").json(f"{at}/processed")
+    """Records with ``month``; a filter on it prunes partitions. A store without a generation is empty; unreadable files are passed over."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.RECORD.fields) + ", ingest_ord bigint, month string"
+    known = generations(spark, folder)
+    if not known:
+        return spark.createDataFrame([], columns)
+    reader = spark.read.schema(columns).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true")
+    return reader.format(known[0]["form"] or "json").load(f"{known[0]['generation']}/processed")
 
 
 def load_json(spark: SparkSession, path: str, default):
