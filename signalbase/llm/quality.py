@@ -11,6 +11,7 @@ kept, unless they bear the name of a result column, which replaces them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,19 +62,29 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window which the text has at least twice."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", w[i], w[i + 1], w[i + 2]))
+    """Words that lie in a 3-word window which the text has at least twice.
 
-    def covered(s: Column) -> Column:
-        twice = lambda j: F.coalesce((F.get(s, j - 1)["g"] == s[j]["g"]), F.lit(False)) | F.coalesce((F.get(s, j + 1)["g"] == s[j]["g"]), F.lit(False))
-        starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), twice), lambda j: s[j]["i"])
-        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+    Windows are compared by hash first, and as text only where hashes meet.
+    """
 
-    def count(g: Column) -> Column:
-        ordered = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(let(ordered, covered))
+    def sorted_by(key: Callable[[Column], Column], places: Column) -> Column:
+        return F.sort_array(F.transform(places, lambda i: F.struct(key(i).alias("key"), i.alias("i"))))
 
-    return F.when(F.size(w) < 3, 0).otherwise(let(windows, count))
+    def repeated(s: Column) -> Column:
+        same = lambda j, k: F.coalesce(F.get(s, j)["key"] == F.get(s, k)["key"], F.lit(False))
+        places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
+        return F.transform(places, lambda j: s[j]["i"])
+
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def count(h: Column) -> Column:
+        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("key"), i.alias("i"))))
+        by_text = let(let(by_hash, repeated), lambda at: sorted_by(lambda i: F.concat_ws(" ", w[i], w[i + 1], w[i + 2]), at))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(let(by_text, repeated)))
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+    return F.when(F.size(w) < 3, 0).otherwise(let(hashes, count))
 
 
 def features(text: Column) -> Column:
