@@ -284,7 +284,8 @@ def scan(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text"
 
 def redact(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", path: str = "source", dictionary: DataFrame | None = None) -> DataFrame:
     """``df`` with every secret replaced by a mask; only texts with a candidate are shuffled."""
-    hits = scan(df, model, id_col, text, path, dictionary).filter("is_secret")
+    # Written before it is filtered: a filter on the verdict would be pushed into the features and compute them once more.
+    hits = staged(scan(df, model, id_col, text, path, dictionary).select(id_col, "text_hash", "start", "end", "is_secret"), "secrets-hits").filter("is_secret")
     spans = hits.groupBy(F.col(id_col).alias("_of"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end")), asc=False).alias("_spans"))
     has = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False)).alias("_has")
     # The row travels whole, so that no column of the caller's can clash.
