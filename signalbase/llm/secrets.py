@@ -241,7 +241,9 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED_ROWS) -> DataFrame:
     real = F.pmod(F.xxhash64("id", F.lit("real")), F.lit(4)) == 0
     path = F.when(tests, F.concat(F.lit("tests/fixtures/"), word)).otherwise(F.concat(F.lit("src"), small))
     label = ((F.col("shape") < len(secrets)) & (~tests | real)).cast("double")
-    return rows.select(F.col("id").alias("doc_id"), F.get(both, F.col("shape")).alias("text"), path.alias("path"), label.alias("label"))
+    made = rows.select(F.col("id").alias("doc_id"), F.get(both, F.col("shape")).alias("text"), path.alias("path"), label.alias("label"))
+    # Written, as a filter on the text would otherwise make all shapes once more in one expression.
+    return staged(made, "secrets-made")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = LABELLED_ROWS) -> Model:
