@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +75,22 @@ def by_size(batches: Iterator, rows: int = 256, size: int = 1 << 24) -> Iterator
                 yield part
 
 
+#: Bytes of a text whose words are cut at a time.
+WORD_BLOCK = 1 << 20
+_SPACE_BYTE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, in order, in lists of bounded size but for a word longer than that."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE_BYTE.search(text, at + WORD_BLOCK) if len(text) - at > WORD_BLOCK else None
+        end = cut.start() if cut else len(text)
+        # Without an argument, split knows of these six bytes of white space only.
+        yield text[at:end].split()
+        at = end
+
+
 #: Keys of more rows than ``LEAST_HOT`` and than one in ``MOST_HOT`` of all are hot; there are at most ``MOST_HOT`` of them.
 LEAST_HOT, MOST_HOT = 256, 4000
 
@@ -118,4 +135,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SPACE", "by_size", "found", "let", "one_of_each", "shared_dir", "spread_join", "staged", "table", "text_hash", "words"]
+__all__ = ["SPACE", "by_size", "found", "let", "one_of_each", "shared_dir", "spread_join", "staged", "table", "text_hash", "word_blocks", "words"]

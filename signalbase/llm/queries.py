@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from signalbase.llm import avi, html, licenses, mixing, packing, pii, quality, secrets, simhash, warc
+from signalbase.llm import audit, avi, divergence, html, licenses, mixing, packing, pii, quality, secrets, simhash, warc
 from signalbase.llm.common import table
 
 
@@ -60,6 +60,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_shots": op1_avi_shots,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -79,6 +89,8 @@ ORACLES: dict[str, str] = {
     "op5_mixing": mixing.oracle(),
     "op7_license_digests": licenses.oracle(),
     "op8_warc": warc.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
 
 
