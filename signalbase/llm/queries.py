@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from signalbase.llm import audit, avi, divergence, html, licenses, mixing, packing, pii, quality, secrets, simhash, warc
+from signalbase.llm import audit, avi, divergence, html, licenses, lm, mixing, packing, pii, quality, secrets, simhash, warc
 from signalbase.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lm_scores": op12_lm_scores,
     "op13_source_divergence": op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
