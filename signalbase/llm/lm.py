@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from signalbase.llm import gru
 from signalbase.llm.common import by_size, staged, word_blocks
 
-HEAD, CLASSES, SUFFIXES, DICTIONARY = 2048, 24, 16, 131_072
+HEAD, CLASSES, SUFFIXES, DICTIONARY = 1024, 16, 64, 131_072
 #: Sixteenths of the training documents at which a round ends, and tokens that a replica sees at least, where there are as many.
 ROUNDS, REPLICA_TOKENS = (1, 2, 4, 8, 16), 1 << 20
 #: Tokens that are trained or scored side by side, entries of a task's counts, floats of a parameter block, replicas averaged at a time.
@@ -134,10 +134,22 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 _REST = pa.struct([("word", pa.binary()), ("n", pa.int64())])
 
 
-def _encoder(shared, schema: pa.Schema):
+class _Numbers(dict):
+    """Numbers of the dictionary's words; another word gives -1 less its class, and is noted."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.others: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.others.append(word)
+        return -1 - suffix_class(word)
+
+
+def _encoder(shared, names: list[str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
-        number = {w: k for k, w in enumerate(v.words)}
+        numbers = _Numbers(v.words)
         logs = np.log10(v.counts + 0.5)
         log_tail = np.log10(v.tail)
         # The network's token of each word of the dictionary, and what its class adds to that token's probability.
@@ -147,19 +159,16 @@ def _encoder(shared, schema: pa.Schema):
         def one(text: bytes) -> tuple:
             parts, base, tail, known, rest = [], 0.0, 0.0, 0, Counter()
             for block in word_blocks(text.lower()):
-                at = np.fromiter((number.get(w, -1) for w in block), np.int64, len(block))
+                at = np.fromiter(map(numbers.__getitem__, block), np.int64, len(block))
                 ids = tokens[at]
-                missing = np.flatnonzero(at < 0)
-                for k in missing.tolist():
-                    word = block[k]
-                    kind = suffix_class(word)
-                    ids[k] = v.head + kind
-                    tail -= log_tail[kind]
-                    rest[word] += 1
-                found = at[at >= 0]
+                other = at < 0
+                found, kinds = at[~other], -1 - at[other]
+                ids[other] = v.head + kinds
                 base += float(logs[found].sum())
-                tail += float(within[found].sum())
+                tail += float(within[found].sum()) - float(log_tail[kinds].sum())
                 known += len(found)
+                rest.update(numbers.others)
+                numbers.others.clear()
                 parts.append(ids)
             parts.append(np.zeros(1, np.uint16))
             ids = np.concatenate(parts)
@@ -172,7 +181,7 @@ def _encoder(shared, schema: pa.Schema):
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(_REST)))
             columns = [pa.array([m[0] for m in made], pa.large_binary() if sum(len(m[0]) for m in made) >> 31 else pa.binary())]
             columns += [pa.array([m[k] for m in made], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns, rest], names=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns, rest], names=names)
 
     return encode
 
