@@ -160,10 +160,10 @@ def _encoder(shared, names: list[str]):
             parts, base, tail, known, rest = [], 0.0, 0.0, 0, Counter()
             for block in word_blocks(text.lower()):
                 at = np.fromiter(map(numbers.__getitem__, block), np.int64, len(block))
-                ids = tokens[at]
                 other = at < 0
                 found, kinds = at[~other], -1 - at[other]
-                ids[other] = v.head + kinds
+                ids = np.empty(len(at), np.uint16)
+                ids[~other], ids[other] = tokens[found], v.head + kinds
                 base += float(logs[found].sum())
                 tail += float(within[found].sum()) - float(log_tail[kinds].sum())
                 known += len(found)
