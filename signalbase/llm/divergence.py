@@ -3,10 +3,9 @@
 A term of a language is one row: a vector of counts indexed by the language's
 sources. Smoothed shares p are exact integers, p = 1 + floor(10^9 (count + 1) /
 (N + V)), and two sources diverge in a term by floor((p - q)^2 / q). Higher-order
-functions emit a vector's contributions to each pair of sources and Spark adds
-them up where they lie. Most terms occur in few sources, so a vector emits only
-pairs in which one of the two has the term, each less what the pair gets from a
-term that neither has; that is added once a pair, V times.
+functions emit a vector's contributions to pairs of sources and Spark adds them
+up where they lie. Most terms occur in few sources, so a vector emits only pairs
+that both have the term (``pair_sums`` says how the others are added, exactly).
 
 Defined results: null text, lang and source count as ''. Rows that repeat count
 each for itself, as documents of their own. A language without kept terms gives
@@ -21,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,22 +41,18 @@ _ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.in
 
 
 def _gathered(counts: dict[tuple[str, str], Counter], docs: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """Partial term vectors, one batch a language."""
+    """Partial term vectors: the entries of a language's sources, brought together by the terms' numbers."""
     for lang, seen in docs.items():
-        vectors: dict[bytes, list] = {}
-        for (of, source), terms in counts.items():
-            if of == lang:
-                for term, n in terms.items():
-                    vectors.setdefault(term, []).append((source, n))
-        terms = pa.array(vectors, pa.binary()).cast(pa.string())
-        offsets, sources, numbers = [0], [], []
-        for vector in vectors.values():
-            for source, n in vector:
-                sources.append(source)
-                numbers.append(n)
-            offsets.append(len(sources))
-        entries = pa.StructArray.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64())], ["source", "n"])
-        columns = [pa.array([lang] * len(terms), pa.string()), terms, pa.array([seen[t] for t in vectors], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)]
+        number = {term: k for k, term in enumerate(seen)}
+        own = [(source, terms) for (of, source), terms in counts.items() if of == lang]
+        at = np.concatenate([np.fromiter(map(number.__getitem__, terms), np.int64, len(terms)) for _, terms in own])
+        n = np.concatenate([np.fromiter(terms.values(), np.int64, len(terms)) for _, terms in own])
+        sources = pa.array([source for source, _ in own], pa.string()).take(pa.array(np.repeat(np.arange(len(own)), [len(terms) for _, terms in own])))
+        order = np.argsort(at, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(number)))])
+        entries = pa.StructArray.from_arrays([sources.take(pa.array(order)), pa.array(n[order])], ["source", "n"])
+        vectors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+        columns = [pa.array([lang] * len(number), pa.string()), pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64()), vectors]
         whole = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
         yield from (whole.slice(at, 10_000) for at in range(0, whole.num_rows, 10_000))
 
@@ -116,46 +112,55 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def wide(vectors: DataFrame, langs: DataFrame) -> DataFrame:
-    """Each term with its vector ``p`` over the language's sources, ``zero`` for a count of 0, and ``has`` of the places that have it."""
-    sources = langs.select("lang", "n_lang", "v", "sources", F.transform("sources", lambda s: share(F.lit(0).cast("long"), s["n"], F.col("v"))).alias("zero"))
+    """Each term with its ``vector`` of struct(i, n, p) by places in the language's ``names``; ``zero`` holds each place's p of a count of 0."""
+    none = F.lit(0).cast("long")
+    lists = langs.select("lang", "n_lang", "v", F.col("sources.source").alias("names"), F.col("sources.n").alias("sizes"), F.transform("sources", lambda s: share(none, s["n"], F.col("v"))).alias("zero"))
     small = langs.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0] <= BROADCAST_GROUPS
-    rows = vectors.join(F.broadcast(sources) if small else sources, "lang")
-    rows = rows.withColumn("by_source", F.map_from_entries("counts"))
-    rows = rows.withColumn("n", F.transform("sources", lambda s: F.coalesce(F.element_at("by_source", s["source"]), F.lit(0).cast("long"))))
-    p = F.transform("n", lambda n, i: F.when(n == 0, F.col("zero")[i]).otherwise(share(n, F.col("sources")[i]["n"], F.col("v"))))
-    has = F.filter(F.sequence(F.lit(0), F.size("n") - 1), lambda i: F.col("n")[i] > 0)
-    return rows.select("lang", "term", "n_lang", "v", "sources", "zero", "n", p.alias("p"), has.alias("has"))
+    rows = vectors.join(F.broadcast(lists) if small else lists, "lang")
+    placed = F.transform("counts", lambda c: F.struct((F.array_position("names", c["source"]) - 1).cast("int").alias("i"), c["n"].alias("n")))
+    vector = F.transform(placed, lambda e: F.struct(e["i"].alias("i"), e["n"].alias("n"), share(e["n"], F.get("sizes", e["i"]), F.col("v")).alias("p")))
+    return rows.select("lang", "term", "n_lang", "v", "names", "zero", vector.alias("vector"))
 
 
 def pair_sums(rows: DataFrame, langs: DataFrame) -> DataFrame:
-    """(lang, source, item, value): each source beside each other one of its language."""
-
-    def emitted(i: Column) -> Column:
-        def beside(j: Column) -> Column:
-            here = distance(F.col("p")[i], F.col("p")[j]) - distance(F.col("zero")[i], F.col("zero")[j])
-            there = distance(F.col("p")[j], F.col("p")[i]) - distance(F.col("zero")[j], F.col("zero")[i])
-            # Two places that both have the term meet twice, once from each side.
-            return F.when(F.col("n")[j] > 0, F.array(F.struct(i.alias("i"), j.alias("j"), here.alias("d")))).otherwise(
-                F.array(F.struct(i.alias("i"), j.alias("j"), here.alias("d")), F.struct(j.alias("i"), i.alias("j"), there.alias("d")))
-            )
-
-        return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda j: j != i), beside))
-
-    deltas = rows.select("lang", F.explode(F.flatten(F.transform("has", emitted))).alias("e"))
-    added = deltas.groupBy("lang", "e.i", "e.j").agg(F.sum("e.d").alias("d"))
-    one = langs.select("lang", "v", "sources", F.posexplode("sources").alias("i", "mine"))
-    both = one.select("lang", "v", "i", "mine", F.posexplode("sources").alias("j", "other")).filter("i != j")
-    none = F.lit(0).cast("long")
-    base = F.col("v") * distance(share(none, F.col("mine.n"), F.col("v")), share(none, F.col("other.n"), F.col("v")))
-    return both.join(added, ["lang", "i", "j"], "left").select("lang", F.col("mine.source").alias("source"), F.col("other.source").alias("item"), (base + F.coalesce("d", none)).alias("value"))
+    """(lang, source, item, value): each source beside each other one of its language.
+
+    With 0 for a place's p of no occurrence, f(a, b) is the sum of f(0, 0), of
+    f(a, 0) - f(0, 0), of f(0, b) - f(0, 0) and of the rest. The first is added V
+    times a pair; the next two depend on one place and its count and are added
+    once for each count, times the terms that have it; the rest is 0 unless both
+    places have the term, and only those pairs are emitted.
+    """
+    beside = F.flatten(F.transform("vector", lambda a: F.transform(F.filter("vector", lambda b: b["i"] != a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["p"].alias("p"), b["p"].alias("q")))))
+    emitted = rows.select("lang", "zero", F.explode(beside).alias("e")).select("lang", "e.*", F.get("zero", F.col("e.i")).alias("p0"), F.get("zero", F.col("e.j")).alias("q0"))
+    p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
+    shared = emitted.groupBy("lang", "i", "j").agg(F.sum(distance(p, q) - distance(p, q0) - distance(p0, q) + distance(p0, q0)).alias("d"))
+
+    counts = rows.select("lang", F.explode("vector").alias("e")).groupBy("lang", "e.i", "e.n").agg(F.count("*").alias("times"))
+    places = langs.select("lang", "v", F.posexplode("sources").alias("i", "mine"))
+    zero = share(F.lit(0).cast("long"), F.col("mine.n"), F.col("v"))
+    zeros = langs.select("lang", F.transform("sources", lambda s: share(F.lit(0).cast("long"), s["n"], F.col("v"))).alias("zero"))
+    known = counts.join(places.withColumn("p0", zero), ["lang", "i"]).join(zeros, "lang")
+    alone = known.select("lang", "i", "times", share(F.col("n"), F.col("mine.n"), F.col("v")).alias("p"), "p0", F.posexplode("zero").alias("j", "q0")).filter("i != j")
+    alone = alone.groupBy("lang", "i", "j").agg(
+        F.sum(F.col("times") * (distance(p, q0) - distance(p0, q0))).alias("d"),
+        F.sum(F.col("times") * (distance(q0, p) - distance(q0, p0))).alias("back"),
+    )
+    added = shared.unionByName(alone.select("lang", "i", "j", "d")).unionByName(alone.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("d")))
+    added = added.groupBy("lang", "i", "j").agg(F.sum("d").alias("d"))
+
+    pairs = langs.select("lang", "v", "sources", F.posexplode("sources").alias("i", "mine")).select("lang", "v", "i", "mine", F.posexplode("sources").alias("j", "other")).filter("i != j")
+    base = F.col("v") * distance(zero, share(F.lit(0).cast("long"), F.col("other.n"), F.col("v")))
+    value = base + F.coalesce("d", F.lit(0).cast("long"))
+    return pairs.join(added, ["lang", "i", "j"], "left").select("lang", F.col("mine.source").alias("source"), F.col("other.source").alias("item"), value.alias("value"))
 
 
 def leading_terms(rows: DataFrame) -> DataFrame:
     """(lang, source, item, value): terms a source has in a larger share than its language."""
-    all_n = F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)
-    rows = rows.withColumn("q", share(all_n, F.col("n_lang"), F.col("v")))
-    over = rows.select("lang", "term", "q", F.explode(F.transform(F.filter("has", lambda i: F.col("p")[i] > F.col("q")), lambda i: F.struct(F.col("sources")[i]["source"].alias("source"), F.col("p")[i].alias("p")))).alias("e"))
-    return over.select("lang", "e.source", F.col("term").alias("item"), distance(F.col("e.p"), F.col("q")).alias("value"))
+    all_n = F.aggregate("vector", F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    rows = rows.select("lang", "term", "names", "vector", share(all_n, F.col("n_lang"), F.col("v")).alias("q"))
+    over = rows.select("lang", "term", "names", "q", F.explode("vector").alias("e")).filter(F.col("e.p") > F.col("q"))
+    return over.select("lang", F.get("names", F.col("e.i")).alias("source"), F.col("term").alias("item"), distance(F.col("e.p"), F.col("q")).alias("value"))
 
 
 def divergence(docs: DataFrame) -> DataFrame:
