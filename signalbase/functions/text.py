@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def file_date(name: Column) -> Column:
     return blank_to(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), "unknown")
 
 
+def month_of_name(name: str) -> str:
+    """The month key that the records of a file of this name have."""
+    found = re.search(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", name)
+    return found[0][:7] if found else "unknown"
+
+
 def month_key(date: Column) -> Column:
     return F.substring(blank_to(date, "unknown"), 1, 7)
 

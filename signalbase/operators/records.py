@@ -77,7 +77,12 @@ def carry_forward(records: DataFrame, prior: DataFrame, models: Sequence[str] =
     The cache holds a row for each text ever classified, so it is joined by
     hash; Spark broadcasts it where its size at run time allows.
     """
-    kept = carry_dedupe(carry_eligible(prior, models)).select(
+    return overlay(records, carry_dedupe(carry_eligible(prior, models)))
+
+
+def overlay(records: DataFrame, known: DataFrame) -> DataFrame:
+    """``records`` with the classifications of ``known``, which has one row a content hash."""
+    kept = known.select(
         "content_hash",
         F.struct(
             "category",

@@ -16,6 +16,11 @@ from signalbase.operators.records import newest_first
 SEARCHED = ("title", "body", "category", "source", "url", "authors")
 
 
+def haystack() -> Column:
+    """What a text search looks into, in lower case."""
+    return F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in SEARCHED)))
+
+
 @dataclass(frozen=True)
 class Query:
     """What a search asks for; inactive parts are empty or ``all``."""
@@ -29,6 +34,10 @@ class Query:
     page: int = 1
     page_size: int = config.PAGE_SIZE
 
+    @property
+    def needle(self) -> str:
+        return self.text.strip().lower()
+
     def condition(self) -> Column:
         """All active parts, cheap ones first.
 
@@ -46,10 +55,9 @@ class Query:
         if self.alert in ("yes", "no"):
             flag = F.coalesce(F.col("is_alert"), F.lit(False))
             parts.append(flag if self.alert == "yes" else ~flag)
-        needle = self.text.strip().lower()
+        needle = self.needle
         if needle:
-            hay = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in SEARCHED)))
-            parts.append(F.contains(hay, F.lit(needle)))
+            parts.append(F.contains(haystack(), F.lit(needle)))
         out = F.lit(True)
         for part in parts:
             out = out & part

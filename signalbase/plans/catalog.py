@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from signalbase import config
 from signalbase.functions import classify, extract, text
-from signalbase.operators import classification, knowledge, search
+from signalbase.operators import classification, knowledge, search, term_index
 from signalbase.operators import records as rec
 from signalbase.plans import fixtures as fx
-from signalbase.sources import store
+from signalbase.plans.stats import BuildReport
+from signalbase.sources import state, store
 from signalbase.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +113,32 @@ add(
         FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents))""",
 )
 add("classify_leaf", lambda s, d: fx.records(s, d).select("ingest_ord", classify.classify_leaf(F.concat_ws(" ", "title", "body"), fx.LEAVES).alias("c")).select("ingest_ord", "c.category", "c.score"), C("SELECT ingest_ord, category, score FROM classified"))
+
+
+def classify_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in taxonomy as a table, met through its terms' grams."""
+    rows = fx.records(spark, d)
+    return term_index.classify(rows, ["ingest_ord"], F.concat_ws(" ", "title", "body"), term_index.leaf_table(spark, fx.LEAVES)).select("ingest_ord", "category", "score")
+
+
+add("classify_by_index", classify_by_index, C("SELECT ingest_ord, category, score FROM classified"))
+
+
+def source_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A taxonomy that grows with the documents: a leaf a source, its keywords the long words of its titles."""
+    words = fx.records(spark, d).select("source", F.explode(F.split(F.lower("title"), " ")).alias("word")).filter(F.length("word") >= 9).distinct()
+    leaves = words.groupBy("source").agg(F.array_agg("word").alias("keywords"))
+    return leaves.select(F.expr("cast(substring(source, 4) as bigint)").alias("ord"), F.col("source").alias("name"), "keywords", F.array().cast("array<string>").alias("path"))
+
+
+add(
+    "classify_many_terms",
+    lambda s, d: term_index.classify(fx.records(s, d), ["ingest_ord"], F.concat_ws(" ", "title", "body"), source_terms(s, d)),
+    R(f"""SELECT ingest_ord, coalesce(category, '{config.UNCLASSIFIED}') AS category, coalesce(score, 0.0::DOUBLE) AS score, CASE WHEN score > 0 THEN least(0.95::DOUBLE, 0.45::DOUBLE + score / 20) ELSE 0.0::DOUBLE END AS confidence
+        FROM (SELECT ingest_ord FROM records) LEFT JOIN (SELECT ingest_ord, term.source AS category, 3.0::DOUBLE * count(*) AS score FROM records
+          JOIN (SELECT DISTINCT source, word FROM (SELECT source, unnest(string_split(lower(title), ' ')) AS word FROM records) WHERE length(word) >= 9) term ON contains(lower(concat(title, ' ', body)), term.word)
+          GROUP BY ingest_ord, term.source QUALIFY row_number() OVER (PARTITION BY ingest_ord ORDER BY count(*) DESC, CAST(substr(term.source, 4) AS BIGINT)) = 1) USING (ingest_ord)"""),
+)
 add(
     "classify_confidence",
     lambda s, d: fx.classified(s, d).select("ingest_ord", F.col("classification_confidence").alias("confidence")),
@@ -278,6 +305,32 @@ def load_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("load_shards", load_shards, R("SELECT ingest_ord, date, title, substr(date, 1, 7) AS month FROM records WHERE substr(date, 1, 7) >= '2026-02'"))
+
+
+def stored(spark: SparkSession, d: str) -> str:
+    """The classified records as a store in the shared folder."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.write_store(fx.classified(spark, d), folder, BuildReport())
+    return folder
+
+
+STORED = search.Query(text="Tion of the", date_from="2026-02-01", date_to="2026-04-30")
+add(
+    "search_store",
+    lambda s, d: store.search_store(s, stored(s, d), STORED).select("ingest_ord", "date", "title", "category"),
+    C(f"SELECT {LIST} FROM classified WHERE date >= '2026-02-01' AND date <= '2026-04-30' AND contains({_HAY}, 'tion of the')"),
+)
+
+
+def changed_month(spark: SparkSession, d: str) -> DataFrame:
+    """A store of which one month is written anew with other categories; the others' shards stay where they were."""
+    folder = stored(spark, d)
+    month = store.read_store(spark, folder).filter("month = '2026-03'").drop("month")
+    store.write_store(month.withColumn("category", F.lit("changed")), folder, BuildReport(), months=["2026-03"])
+    return store.read_store(spark, folder).select("ingest_ord", "month", "category")
+
+
+add("changed_month", changed_month, C("SELECT ingest_ord, month, CASE WHEN month = '2026-03' THEN 'changed' ELSE category END AS category FROM classified"))
 add("job_descriptor", lambda s, d: store.job_descriptor(s.createDataFrame([("2026-07-02T02:09:19.206814+00:00", "v1")], "processed_at string, taxonomy_version string")))
 add("carry_eligible", lambda s, d: rec.carry_eligible(fx.prior(s, d)).select("content_hash", "category", "ingest_ord"), P("SELECT content_hash, category, ingest_ord FROM eligible"))
 add("carry_dedupe", lambda s, d: rec.carry_dedupe(rec.carry_eligible(fx.prior(s, d))).select("content_hash", "category", F.col("classification_confidence").alias("confidence")), P("SELECT content_hash, category, confidence FROM deduped"))
@@ -295,6 +348,20 @@ add(
         FROM classified c LEFT JOIN deduped k USING (content_hash)"""),
 )
 
+
+
+def carry_by_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a bucketed state, made of one half of the earlier store and merged with the other."""
+    folder = f"{shared_dir(spark)}/carry-{uuid.uuid4().hex}"
+    prior = fx.prior(spark, d)
+    first = state.write_state(state.latest(prior.filter("ingest_ord % 3 != 1")), folder, 16)
+    known = state.write_state(state.merged(first, state.latest(prior)), folder, 16)
+    fresh = rec.build_records(fx.records(spark, d))
+    return state.carry_from_state(fresh, known).select("ingest_ord", "category", F.col("classification_confidence").alias("confidence"), "classifier_model", "cache_hit")
+
+
+add("carry_by_state", carry_by_state, _ORACLES["carry_forward"])
+
 # Model classification
 
 add("pending_by_date", lambda s, d: classification.pending(fx.classified(s, d), fx.MODEL, TRACKED).select("ingest_ord", "date"), C(f"SELECT ingest_ord, date FROM classified WHERE date = '{TRACKED}'"))

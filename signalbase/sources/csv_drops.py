@@ -8,7 +8,7 @@ a byte order mark), else as GB18030; a file in neither gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,29 +18,31 @@ from signalbase import config
 from signalbase.functions import text
 from signalbase.operators.records import union_sources
 from signalbase.plans.stats import BuildReport
+from signalbase.sources.files import listing
 
 RAW = "file_name string, row long, cells map<string,string>"
 
 
-def discover(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None) -> DataFrame | None:
-    """(path, file_name, content) of the source's files, or None (and a warning) where its folder is missing."""
+def drop_files(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None) -> list[tuple[str, str, int, int]]:
+    """(path, name, bytes, time of change) of a source's files in order of name; none, and a warning, where its folder is missing."""
     folder = f"{root.rstrip('/')}/{spec.subdir}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(hadoop):
-        if report is not None:
-            report.warnings.append(f"missing folder: {folder}")
-        return None
+    found = listing(spark, folder)
+    if found is None and report is not None:
+        report.warnings.append(f"missing folder: {folder}")
+    files = [f for f in found or [] if f[1].endswith(".csv") and any(re.match(p, f[1]) for p in spec.patterns)]
     if report is not None:
-        # Spark's readers pass over files of no bytes, which count all the same.
-        names = [s.getPath().getName() for s in system.listStatus(hadoop)]
-        report.saw_files(spec.name, sum(n.endswith(".csv") and any(re.match(p, n) for p in spec.patterns) for n in names))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
-    wanted = F.lit(False)
-    for pattern in spec.patterns:
-        wanted = wanted | F.col("file_name").rlike(pattern)
-    return named.filter(wanted)
+        report.saw_files(spec.name, len(files))
+    return files
+
+
+def discover(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None, months: Collection[str] | None = None) -> DataFrame | None:
+    """(path, file_name, content) of the source's files, of some months only if asked; None where there are none."""
+    # Spark's readers pass over files of no bytes, which count in the report all the same.
+    paths = [path for path, name, _, _ in drop_files(spark, root, spec, report) if months is None or text.month_of_name(name) in months]
+    if not paths:
+        return None
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,9 +65,9 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"file_name": name, "row": range(at, at + len(part)), "cells": part})
 
 
-def read_source(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None) -> DataFrame:
+def read_source(spark: SparkSession, root: str, spec: config.SourceSpec, report: BuildReport | None = None, months: Collection[str] | None = None) -> DataFrame:
     """(title, body, authors, url, date, source, intelligence_type, file_name, row) of one source."""
-    files = discover(spark, root, spec, report)
+    files = discover(spark, root, spec, report, months)
     if files is None:
         raw = spark.createDataFrame([], RAW)
     else:
@@ -95,19 +97,22 @@ def _any_case(alias: str) -> Column:
     return F.get(alike, F.size(alike) - 1)
 
 
-def read_sources(spark: SparkSession, roots: dict[str, str], specs: Sequence[config.SourceSpec] = config.SOURCES, report: BuildReport | None = None) -> DataFrame:
+def read_sources(spark: SparkSession, roots: dict[str, str], specs: Sequence[config.SourceSpec] = config.SOURCES, report: BuildReport | None = None, months: Collection[str] | None = None) -> DataFrame:
     """All sources in the order of the registry; ``ingest_ord`` follows source, file name and row.
 
-    ``roots`` maps source names to folders; a source without one is skipped with a warning.
+    ``roots`` maps source names to folders; a source without one is skipped with a
+    warning. With ``months`` only the files of those months are read. A name's date
+    need not be one that the calendar has; it stays as written.
     """
     parts = []
     for spec in specs:
         if spec.name in roots:
-            parts.append(read_source(spark, roots[spec.name], spec, report))
+            parts.append(read_source(spark, roots[spec.name], spec, report, months))
         elif report is not None:
             report.warnings.append(f"no folder given for {spec.name}")
     every = union_sources(parts)
     # A place in the order without a sort: source, day and row fit in one number.
-    day = F.datediff(F.to_date(F.nullif("date", F.lit("unknown"))), F.lit("1970-01-01").cast("date"))
-    place = F.col("source_ord") * F.lit(1 << 56) + F.coalesce(day, F.lit(0)) * F.lit(1 << 32) + F.col("row")
+    # The eight digits of a name's date count up as names do, whether a calendar has that date or not.
+    day = F.coalesce(F.replace("date", F.lit("-"), F.lit("")).try_cast("bigint"), F.lit(0))
+    place = F.col("source_ord") * F.lit(1 << 57) + day * F.lit(1 << 30) + F.col("row")
     return every.withColumn("ingest_ord", place).drop("source_ord", "file_name", "row")

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,16 @@ from pyspark.sql import functions as F
 from signalbase import config, schema
 from signalbase.functions import text
 from signalbase.operators.records import newest_first
+from signalbase.operators.search import Query, matches
 from signalbase.plans.stats import BuildReport
+from signalbase.sources import text_index
+from signalbase.sources.files import delete, exists
 
 OPTIONS = {"ignoreNullFields": "false"}
+FILES = "source string, name string, bytes bigint, changed bigint"
 POINTER = "processed_at string, generation string, form string"
+#: A month of a generation: which generation holds its shards (an older one, if the month has not changed since), and its counts.
+MONTHS = "month string, holder string, records bigint, kinds map<string,bigint>"
 
 
 def shard_counts(records: DataFrame) -> DataFrame:
@@ -67,14 +74,10 @@ def job_descriptor(meta: DataFrame, target: int = config.TARGET_ROWS, prompt_fil
     return meta.select(F.to_json(job, {"ignoreNullFields": "false"}).alias("job"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def manifest_document(records: DataFrame, meta: dict, index: str = "knowledge_index") -> dict:
-    """The manifest: the build's meta document, a line for each month, where the knowledge index is."""
-    return {"meta": meta, "shards": [r.asDict() for r in manifest(records).collect()], "knowledge_index": index}
+def manifest_document(months: DataFrame, meta: dict, index: str = "knowledge_index") -> dict:
+    """The manifest: the build's meta document, a line for each month, newest first, where the knowledge index is."""
+    rows = months.select("month", F.concat(F.lit("processed/month="), F.col("month")).alias("path"), "records", "holder").orderBy(F.desc("month"))
+    return {"meta": meta, "shards": [r.asDict() for r in rows.collect()], "knowledge_index": index}
 
 
 def _listed(rows: DataFrame, order: Sequence[Column], columns: Sequence[str], name: str) -> DataFrame:
@@ -96,33 +99,68 @@ def snapshot_document(records: DataFrame, meta: dict, knowledge: DataFrame | Non
     return docs.select(F.to_json(F.struct(about.alias("meta"), "records", "knowledge"), OPTIONS).alias("value"))
 
 
-def write_store(records: DataFrame, folder: str, report: BuildReport, knowledge: DataFrame | None = None, form: str = "json", keep: int | None = None) -> str:
+def month_summaries(records: DataFrame, holder: str) -> DataFrame:
+    """``MONTHS`` of some records: counts that add up, so that a store's totals need no records of unchanged months."""
+    kinds = records.groupBy(text.month_key(F.col("date")).alias("month"), "intelligence_type").agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("intelligence_type", "n")))
+    return kinds.groupBy("month").agg(F.lit(holder).alias("holder"), F.sum("n").alias("records"), F.map_from_entries(pairs).alias("kinds")).select("month", "holder", "records", "kinds")
+
+
+def _write_shards(records: DataFrame, out: str, form: str) -> None:
+    month = records.withColumn("month", text.month_key(F.col("date")))
+    # Ranges of the record order: a month of any size is spread over as many tasks as it needs, and small ones share one.
+    spread = month.repartitionByRange(F.desc("month"), *newest_first()).sortWithinPartitions(F.desc("month"), *newest_first())
+    writer = spread.write.partitionBy("month")
+    (writer.options(**OPTIONS) if form == "json" else writer).format(form).save(f"{out}/processed")
+
+
+def write_store(records: DataFrame, folder: str, report: BuildReport, knowledge: DataFrame | None = None, form: str = "parquet", keep: int | None = None, months: Collection[str] | None = None, files: DataFrame | None = None) -> str:
     """Write a generation of the store; returns its folder.
 
     ``records`` may come from the store itself: it is read from an older
-    generation. The pointer to the newest is written last. Shards are ``json``
-    lines, or ``parquet``, whose statistics and columns searches can use. With
-    ``keep``, older generations than that many go.
+    generation. The pointer to the newest is written last. Shards are
+    ``parquet``, whose statistics and columns searches can use, or ``json``
+    lines. With ``keep``, older generations than that many go, but for months
+    that a newer one still holds there.
+
+    With ``months``, ``records`` are those of these months: only their shards are
+    written, and all other months stay in the generations that hold them, unread.
+    The snapshot then reads the newest months only, as many as fill it.
     """
     if form not in ("json", "parquet"):
         raise ValueError(f"no such form of a store: {form}")
     spark = records.sparkSession
+    before = generations(spark, folder) if months is not None else []
+    if before and (before[0]["form"] or "json") != form:
+        raise ValueError(f"the store's shards are {before[0]['form']}")
     out = f"{folder.rstrip('/')}/generations/{uuid.uuid4().hex}"
-    month = records.withColumn("month", text.month_key(F.col("date")))
-    # Ranges of the record order: a month of any size is spread over as many tasks as it needs, and small ones share one.
-    spread = month.repartitionByRange(F.desc("month"), *newest_first()).sortWithinPartitions(F.desc("month"), *newest_first())
-    writer = spread.write.partitionBy("month")
-    (writer.options(**OPTIONS) if form == "json" else writer).format(form).save(f"{out}/processed")
-    report.counted({r["intelligence_type"]: r["n"] for r in count_by_type(records).collect()})
+    _write_shards(records, out, form)
+    written = _read_processed(spark, out, form)
+    table = month_summaries(written, out)
+    if before:
+        table = _months_of(spark, before[0]).filter(~F.col("month").isin(sorted(months))).unionByName(table)
+    table.coalesce(1).write.json(f"{out}/months")
+    table = spark.read.schema(MONTHS).json(f"{out}/months")
+    report.counted({r["k"]: r["n"] for r in table.select(F.explode("kinds").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()})
     meta = report.document()
     dump_json(spark, f"{out}/meta", meta)
-    dump_json(spark, f"{out}/manifest", manifest_document(records, meta))
+    dump_json(spark, f"{out}/manifest", manifest_document(table, meta))
+    _write_index(spark, out, form)
+    if files is not None:
+        files.write.json(f"{out}/files")
     if knowledge is not None:
         knowledge = knowledge.withColumn("updated_at", F.lit(report.at))
         knowledge.write.partitionBy("category").json(f"{out}/knowledge")
         listed = _listed(knowledge, [F.col("ord")], [c for c in knowledge.columns if c != "ord"], "documents")
         listed.select(F.to_json(F.struct(F.lit(report.at).alias("generated_at"), "documents"), OPTIONS).alias("value")).write.text(f"{out}/knowledge_index")
-    snapshot_document(records, meta, knowledge).write.text(f"{out}/snapshot")
+    head, held = [], 0
+    for row in table.orderBy(F.desc("month")).collect():
+        head.append(row)
+        held += row["records"]
+        if held >= config.SNAPSHOT_ROWS:
+            break
+    newest_months = _read_months(spark, head, form).select(*records.columns)
+    snapshot_document(newest_months, meta, knowledge).write.text(f"{out}/snapshot")
     pointer = spark.createDataFrame([(report.at, out, form)], POINTER)
     pointer.coalesce(1).write.mode("append").json(f"{folder.rstrip('/')}/pointers")
     if keep:
@@ -130,10 +168,14 @@ def write_store(records: DataFrame, folder: str, report: BuildReport, knowledge:
     return out
 
 
+def _write_index(spark: SparkSession, out: str, form: str) -> None:
+    text_index.build_index(_read_processed(spark, out, form)).coalesce(1).write.parquet(f"{out}/text_index")
+
+
 def generations(spark: SparkSession, folder: str) -> list:
     """The complete generations of a store, newest first; one row each."""
     pointers = f"{folder.rstrip('/')}/pointers"
-    if not _exists(spark, pointers):
+    if not exists(spark, pointers):
         return []
     return spark.read.schema(POINTER).json(pointers).orderBy(F.desc("processed_at"), F.desc("generation")).collect()
 
@@ -145,28 +187,108 @@ def newest(spark: SparkSession, folder: str) -> str | None:
 
 
 def prune(spark: SparkSession, folder: str, keep: int) -> list[str]:
-    """Delete all complete generations but the newest ``keep``; returns those that went. No reader may be on them."""
-    gone = []
-    for row in generations(spark, folder)[max(1, keep) :]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(row["generation"])
-        if place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True):
-            gone.append(row["generation"])
-    return gone
+    """Delete all complete generations but the newest ``keep`` and those that hold months of them; returns those that went.
+
+    No reader may be on them.
+    """
+    known = generations(spark, folder)
+    kept = {g["generation"] for g in known[: max(1, keep)]}
+    for g in known[: max(1, keep)]:
+        kept |= {r["holder"] for r in _months_of(spark, g).collect()}
+    return [g["generation"] for g in known if g["generation"] not in kept and delete(spark, g["generation"])]
+
+
+_COLUMNS = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.RECORD.fields) + ", ingest_ord bigint, month string"
+
+
+def _months_of(spark: SparkSession, generation) -> DataFrame:
+    path = f"{generation['generation']}/months"
+    return spark.read.schema(MONTHS).json(path) if exists(spark, path) else spark.createDataFrame([], MONTHS)
+
+
+def _reader(spark: SparkSession, generation: str, form: str):
+    reader = spark.read.schema(_COLUMNS).option("ignoreCorruptFiles", "true").option("basePath", f"{generation}/processed")
+    return reader.option("mode", "PERMISSIVE").format(form or "json")
+
+
+def _complete(rows: DataFrame) -> DataFrame:
+    # A line that is no JSON is a row of nulls, and every record has a hash.
+    return rows.filter(F.col("content_hash").isNotNull())
+
+
+def _read_processed(spark: SparkSession, generation: str, form: str) -> DataFrame:
+    return _complete(_reader(spark, generation, form).load(f"{generation}/processed"))
+
+
+def _read_months(spark: SparkSession, months: Sequence, form: str) -> DataFrame:
+    """The records of some rows of ``MONTHS``, a scan for each generation that holds any of them."""
+    by_holder: dict[str, list[str]] = {}
+    for row in months:
+        by_holder.setdefault(row["holder"], []).append(f"{row['holder']}/processed/month={row['month']}")
+    parts = [_complete(_reader(spark, holder, form).load(paths)) for holder, paths in sorted(by_holder.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _COLUMNS)
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with ``month``; a filter on it prunes partitions. A store without a generation is empty; unreadable files are passed over."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.RECORD.fields) + ", ingest_ord bigint, month string"
+    """Records with ``month``; a filter on it prunes partitions.
+
+    A store without a generation is empty; unreadable files and lines are passed over.
+    """
+    known = generations(spark, folder)
+    if not known:
+        return spark.createDataFrame([], _COLUMNS)
+    return _read_months(spark, _months_of(spark, known[0]).orderBy("month").collect(), known[0]["form"])
+
+
+def month_table(spark: SparkSession, folder: str) -> list:
+    """The rows of ``MONTHS`` of the newest generation."""
+    known = generations(spark, folder)
+    return _months_of(spark, known[0]).orderBy("month").collect() if known else []
+
+
+def read_months(spark: SparkSession, folder: str, months: Sequence) -> DataFrame:
+    """The records of some of ``month_table``'s months; no others are read."""
+    return _read_months(spark, months, generations(spark, folder)[0]["form"])
+
+
+def search_files(spark: SparkSession, folder: str, query: Query) -> DataFrame:
+    """The records of the files that may hold matches of a query: of its months, and of those the ones that may hold its text."""
     known = generations(spark, folder)
     if not known:
-        return spark.createDataFrame([], columns)
-    reader = spark.read.schema(columns).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true")
-    return reader.format(known[0]["form"] or "json").load(f"{known[0]['generation']}/processed")
+        return spark.createDataFrame([], _COLUMNS)
+    form = known[0]["form"]
+    months = _months_of(spark, known[0]).filter(query.month_condition()).orderBy("month").collect()
+    parts = []
+    for holder in sorted({m["holder"] for m in months}):
+        own = [m for m in months if m["holder"] == holder]
+        index = f"{holder}/text_index"
+        files = text_index.files_that_may_hold(spark, spark.read.parquet(index), query.needle) if exists(spark, index) else None
+        if files is None:
+            parts.append(_read_months(spark, own, form))
+            continue
+        wanted = {f"month={m['month']}" for m in own}
+        files = sorted(f for f in files if f.split("/")[-2] in wanted)
+        if files:
+            parts.append(_complete(_reader(spark, holder, form).load(files)))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _COLUMNS)
+
+
+def search_store(spark: SparkSession, folder: str, query: Query) -> DataFrame:
+    """All matches of a query, read from the files that may hold any."""
+    return matches(search_files(spark, folder, query), query)
+
+
+def known_files(spark: SparkSession, folder: str) -> set[tuple[str, str, int, int]] | None:
+    """(source, name, bytes, time of change) of the drops in the newest generation; None where it does not say."""
+    at = newest(spark, folder)
+    if at is None or not exists(spark, f"{at}/files"):
+        return None
+    return {tuple(r) for r in spark.read.schema(FILES).json(f"{at}/files").collect()}
 
 
 def load_json(spark: SparkSession, path: str, default):
     """A JSON document, or ``default`` where there is none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return default
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
@@ -179,7 +301,7 @@ def dump_json(spark: SparkSession, path: str, payload, indent: int | None = None
 
 def read_taxonomy(spark: SparkSession, path: str) -> tuple[str, list[config.Leaf]]:
     """Version and leaves of a taxonomy file; without one, ``unknown`` and none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return "unknown", []
     row = spark.read.schema(schema.TAXONOMY).json(path, multiLine=True).first()
     return row["version"] or "unknown", [config.Leaf(tuple(x["path"] or ()), tuple(x["keywords"] or ()), x["label"]) for x in row["leaves"] or []]
@@ -187,7 +309,7 @@ def read_taxonomy(spark: SparkSession, path: str) -> tuple[str, list[config.Leaf
 
 def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
     """The ordered categories of a vocabulary file; without one, none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return []
     row = spark.read.schema("categories array<string>").json(path, multiLine=True).first()
     return list(row["categories"] or [])
