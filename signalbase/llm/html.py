@@ -13,14 +13,16 @@ mean, are the main text.
 
 Tags that mark navigation, headers, footers, sidebars and forms, and class or
 id names of adverts, notices, sidebars and reader comments, are a prior: a
-factor on the ratios of the paths below them. It is not applied where the
-element holds the page's article all the same (a main or article element, the
-title, or for a doubtful name most of the text).
+factor on the ratios of the paths below them, small enough to decide against
+them. It is not applied where the element holds the page's article all the same
+(a main or article element, the title, or for a doubtful name most of the text).
+What no name speaks against is left to the ratios.
 
 Defined cases: a null, empty or textless page gives an empty text; unclosed
 and stray tags are closed as browsers do for paragraphs, list items and table
 cells, else ignored; a tag that never ends is text; a page of which every
-text lies in such elements has no main text; pages of any length and take linear time; repeated rows and ties give equal results; an empty table
+text lies in such elements has no main text; pages of any length take linear
+time, however deep their elements are nested; repeated rows and ties give equal results; an empty table
 gives an empty result; columns named like the results are replaced.
 """
 
@@ -61,6 +63,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 HOLDS_PARAGRAPHS = frozenset("td th table article".split())
 MARKS = str.maketrans("", "", ".,;:!?…。，；：！？、")
@@ -81,23 +84,25 @@ class Page:
     """Text nodes in page order, and the tree of tag paths that they lie on.
 
     ``paths[k]`` is (path above it or -1, its label); ``nodes`` are (path,
-    text, mistrusted elements around it).
+    text, innermost mistrusted element around it or 0). ``trusted[k]`` says
+    whether mistrusted element k and all such elements around it are trusted
+    after all; ``outer[k]`` is the next one outwards.
     """
 
     def __init__(self, page: str):
         self.paths: list[tuple[int, str]] = [(-1, "")]
-        self.nodes: list[tuple[int, str, tuple[int, ...]]] = []
-        self.trusted: set[int] = set()
+        self.nodes: list[tuple[int, str, int]] = []
+        self.outer: list[int] = [0]
+        self.trusted: list[bool] = [True]
         self._known: dict[tuple[int, str], int] = {}
         self._parts: list[str] = []
-        self._where: tuple[int, tuple[int, ...]] = (0, ())
-        # Of each open element: its tag, its path, the mistrusted elements around it and itself.
-        self._open: list[tuple[str, int, tuple[int, ...]]] = [("", 0, ())]
+        self._where = (0, 0)
+        # Of each open element: its tag, its path, the innermost mistrusted element of those around it and itself.
+        self._open: list[tuple[str, int, int]] = [("", 0, 0)]
         self._at: dict[str, list[int]] = {}
         self._blocks: list[int] = []
-        self._doubtful: set[int] = set()
+        self._doubtful: list[bool] = [False]
         self._in_article = 0
-        self._count = 0
         self._parse(page)
         self._end_node()
         self._trust()
@@ -153,7 +158,7 @@ class Page:
                 self.nodes.append((self._where[0], text, self._where[1]))
             self._parts.clear()
 
-    def _push(self, tag: str, path: int, mistrusted: tuple[int, ...]) -> None:
+    def _push(self, tag: str, path: int, mistrusted: int) -> None:
         self._at.setdefault(tag, []).append(len(self._open))
         if tag not in INLINE:
             self._blocks.append(len(self._open))
@@ -180,20 +185,17 @@ class Page:
         if tag not in INLINE:
             self._end_node()
         if tag in CLOSES or tag in PARAGRAPH_ENDS:
-            shut = CLOSES.get(tag, frozenset()) | ({"p"} if tag in PARAGRAPH_ENDS else set())
-            for k in reversed(self._blocks[-3:]):
-                name = self._open[k][0]
-                if name in shut:
-                    self._pop_to(k)
-                if name in shut and name != "td" or name not in ("td", "th") or tag != "tr":
-                    break
+            self._imply_ends(tag)
         if tag in VOID or attributes.endswith("/") and tag in INLINE:
             return
-        above, around = self._open[-1][1], self._open[-1][2]
+        above, around = self._open[-1][1:]
         label, likely_not, doubt = self._judge(tag, attributes)
         if tag in ("main", "h1") or tag == "article" and not likely_not:
             # Whatever holds the article is the page's frame.
-            self.trusted.update(around)
+            at = around
+            while not self.trusted[at]:  # what is trusted has only trusted elements around it
+                self.trusted[at] = True
+                at = self.outer[at]
         if tag in INLINE:
             # Inline elements are no part of a path, but a name of theirs may still tell.
             path = above
@@ -202,12 +204,23 @@ class Page:
             if path == len(self.paths):
                 self.paths.append((above, label))
         if likely_not:
-            self._count += 1
-            around = (*around, self._count)
-            if doubt:
-                self._doubtful.add(self._count)
+            self.outer.append(around)
+            self.trusted.append(False)
+            self._doubtful.append(doubt)
+            around = len(self.outer) - 1
         self._push(tag, path, around)
 
+    def _imply_ends(self, tag: str) -> None:
+        """Ends what a start tag ends by itself: a paragraph right around it, and items, cells and rows of the same list or table."""
+        last = lambda names: max((self._at[x][-1] for x in names if self._at.get(x)), default=0)
+        if tag in PARAGRAPH_ENDS and self._blocks and self._open[self._blocks[-1]][0] == "p":
+            self._pop_to(self._blocks[-1])
+        if tag in CLOSES:
+            bound = last(SCOPES.get(tag, ()))
+            ended = [self._at[x][-1] for x in CLOSES[tag] if self._at.get(x) and self._at[x][-1] > bound]
+            if ended and (tag != "p" or self._blocks[-1] == ended[0]):
+                self._pop_to(min(ended))
+
     def _judge(self, tag: str, attributes: str) -> tuple[str, bool, bool]:
         """An element's label in paths, whether tag or names say that it is likely no article, and whether its share of the text may refute that."""
         by_tag = tag in LEFT_OUT and not (tag == "header" and self._in_article)
@@ -225,22 +238,26 @@ class Page:
         return label, likely_not, likely_not and not sure
 
     def _trust(self) -> None:
-        """Elements of doubtful names that hold most of the text that nothing else speaks against."""
-        share: dict[int, int] = {}
-        total = 0
+        """Elements of doubtful names that hold most of the text that nothing else speaks against; then trust from the outside inwards."""
+        open_, share = [True], [0] * len(self.outer)
+        for k in range(1, len(self.outer)):  # elements come after those around them
+            open_.append(open_[self.outer[k]] and (self.trusted[k] or self._doubtful[k]))
         for _, text, around in self.nodes:
-            if all(e in self.trusted or e in self._doubtful for e in around):
-                total += len(text)
-                for e in around:
-                    share[e] = share.get(e, 0) + len(text)
-        self.trusted.update(e for e, n in share.items() if e in self._doubtful and 2 * n > total)
+            if open_[around]:
+                share[around] += len(text)
+        total = share[0] + sum(share[1:])
+        for k in range(len(self.outer) - 1, 0, -1):
+            share[self.outer[k]] += share[k]
+        for k in range(1, len(self.outer)):
+            believed = self.trusted[k] or self._doubtful[k] and 2 * share[k] > total
+            self.trusted[k] = believed and self.trusted[self.outer[k]]
 
 
 def scores(page: Page) -> tuple[np.ndarray, float]:
     """The fused ratio of each node's path, and its text-weighted mean."""
     lengths = np.array([len(t) for _, t, _ in page.nodes], float)
     marks = np.array([len(t) - len(t.translate(MARKS)) for _, t, _ in page.nodes], float)
-    prior = np.array([1.0 if page.trusted.issuperset(around) else PRIOR for *_, around in page.nodes])
+    prior = np.array([1.0 if page.trusted[around] else PRIOR for *_, around in page.nodes])
     # A path below a mistrusted element and one of the same tags elsewhere are two.
     named: dict[tuple[int, bool], int] = {}
     of = np.array([named.setdefault((p, f == 1.0), len(named)) for (p, *_), f in zip(page.nodes, prior)])
@@ -281,7 +298,7 @@ def scores(page: Page) -> tuple[np.ndarray, float]:
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The text of the nodes whose paths reach the threshold, in page order, joined by one space."""
     parsed = Page(page or "")
-    if all(not parsed.trusted.issuperset(around) for *_, around in parsed.nodes):
+    if not any(parsed.trusted[around] for *_, around in parsed.nodes):
         return ""
     score, usual = scores(parsed)
     return " ".join(t for (_, t, _), s in zip(parsed.nodes, score) if s >= threshold * usual)

@@ -164,7 +164,8 @@ def taken_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     mixed = mix(df, id_col, text, source).filter("taken > 0")
     counted = mixed.select(F.col(id_col).alias("_of"), F.col("text_hash").alias("_hash"), F.slice("positions", 1, F.round(F.col("taken") / F.col("size")).cast("int")).alias("at"))
     once = counted.groupBy("_of", "_hash").agg(F.max("at").alias("_at")).filter(F.size("_at") > 0)
-    keyed = df.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(once, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_hash")))
-    each = joined.select(*df.columns, F.explode("_at").alias("_position"))
-    return each.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).drop("_position")
+    # The row travels whole, so that no column of the caller's can clash.
+    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"))
+    joined = keyed.join(once, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_hash")))
+    each = joined.select("_row", "_id", F.explode("_at").alias("_position"))
+    return each.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*(F.col("_row")[c].alias(c) for c in df.columns))

@@ -97,7 +97,7 @@ def base_spans(text: Column) -> Column:
         valid = F.filter(found(text, kind.pattern), lambda m: kind.valid(m["match"]))
         return F.transform(valid, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
 
-    return F.array_sort(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
+    return F.sort_array(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
 def joined(spans: Column) -> Column:
@@ -106,6 +106,21 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["rank"]], s["start"], s["end"])), ",")
 
 
+def _first_over(spans: Column, start: Column, end: Column) -> Column:
+    """The first of ``spans`` that overlaps a range, by bisection; no two of them overlap, so their ends are in order as well. Null if none does."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        after = F.get(spans, middle)["end"] > start
+        open_ = acc["low"] < acc["high"]
+        low = F.when(open_ & ~after, middle + 1).otherwise(acc["low"])
+        return F.struct(low.alias("low"), F.when(open_ & after, middle).otherwise(acc["high"]).alias("high"))
+
+    first = F.reduce(halvings, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda acc: F.get(spans, acc["low"]))
+    return let(first, lambda s: F.when(s["start"] < end, s))
+
+
 def candidates(text: Column, spans: Column) -> Column:
     """Identifier-like tokens with the words around them and the rank of the base kind that covers them (null: none).
 
@@ -116,25 +131,29 @@ def candidates(text: Column, spans: Column) -> Column:
     word = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]++|" + inner, ""))
     cut = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
-    def one(m: Column, left: Column, right: Column) -> Column:
+    def one(m: Column, left: Column, right: Column, by_kind: Column) -> Column:
         bare = F.ltrim(m["match"], F.lit(LEADING))
         start = m["start"] + F.length(m["match"]) - F.length(bare)
         value = F.rtrim(bare, F.lit(TRAILING))
-        seed = F.filter(spans, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
+        seed = F.array_min(F.array_compact(F.transform(by_kind, lambda own: _first_over(own, m["start"], m["end"]))))
         return F.struct(
             start.alias("start"),
             (start + F.length(value)).alias("end"),
             F.lower(value).alias("instance"),
             let(cut(left), lambda b: F.struct(word(F.get(b, F.size(b) - 1)).alias("left1"), word(F.get(b, F.size(b) - 2)).alias("left2"))).alias("left"),
             word(F.get(cut(right), F.lit(0))).alias("right1"),
-            F.get(seed, F.lit(0))["rank"].alias("rank"),
+            seed["rank"].alias("rank"),
         )
 
-    def each(ms: Column) -> Column:
+    def each(ms: Column, by_kind: Column) -> Column:
         near = lambda i: F.regexp_replace(F.coalesce(F.get(ms, i)["match"], F.lit("")), r"\s++", "")
-        return F.transform(ms, lambda m, i: one(m, F.concat_ws(" ", near(i - 1), m["before"]), F.concat_ws(" ", m["after"], near(i + 1))))
+        return F.transform(ms, lambda m, i: one(m, F.concat_ws(" ", near(i - 1), m["before"]), F.concat_ws(" ", m["after"], near(i + 1)), by_kind))
 
-    return F.filter(let(found(text, IDENTIFIER), each), lambda c: c["end"] > c["start"])
+    # The spans of one kind do not overlap each other, which those of several may.
+    of_kind = lambda rank: F.filter(spans, lambda s: s["rank"] == rank)
+    of_kinds = F.array(*map(of_kind, range(len(KINDS))))
+    every = let(of_kinds, lambda by_kind: let(found(text, IDENTIFIER), lambda ms: each(ms, by_kind)))
+    return F.filter(every, lambda c: c["end"] > c["start"])
 
 
 def _patterns(cands: DataFrame) -> DataFrame:

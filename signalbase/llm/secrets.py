@@ -70,6 +70,8 @@ FEATURES = (
 #: Labelled rows that training takes at most.
 LABELLED_ROWS = 4000
 TREES, DEPTH, SEED = 30, 8, 7
+#: Code points of a text that are masked at a time.
+MASKED = 16_384
 MASK = "[SECRET]"
 #: Characters that transitions tell apart; all others are one.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789_"
@@ -284,18 +286,43 @@ def scan(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text"
     )
 
 
+def masked_text(text: Column, spans: Column) -> Column:
+    """``text`` with each of ``spans``, which are in order and apart, replaced by the mask.
+
+    Places are counted in code points, for which a text is walked from its start;
+    so it is cut into blocks first and each block is masked by itself.
+    """
+
+    def block(piece: Column, number: Column) -> Column:
+        low = number.cast("long") * MASKED
+        own = F.filter(spans, lambda s: (s["start"] < low + MASKED) & (s["end"] > low))
+
+        def parts(own: Column) -> Column:
+            def one(s: Column, k: Column) -> Column:
+                begin = F.greatest(F.coalesce(F.get(own, k - 1)["end"], low), low)
+                kept = F.substring(piece, (begin - low + 1).cast("int"), F.greatest(s["start"] - begin, F.lit(0)).cast("int"))
+                # A span's mask stands where it starts; the rest of it may lie in blocks after that.
+                return F.concat(kept, F.when(s["start"] >= low, MASK).otherwise(""))
+
+            rest = F.substring(piece, (F.get(own, F.size(own) - 1)["end"] - low + 1).cast("int"), F.lit(MASKED))
+            return F.when(F.size(own) == 0, piece).otherwise(F.concat(F.array_join(F.transform(own, one), ""), rest))
+
+        return let(own, parts)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MASKED}}}"), F.lit(0))
+    return F.array_join(F.transform(blocks, block), "")
+
+
 def redact(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", path: str = "source", dictionary: DataFrame | None = None) -> DataFrame:
     """``df`` with every secret replaced by a mask; only texts with a candidate are shuffled."""
     # Written before it is filtered: a filter on the verdict would be pushed into the features and compute them once more.
     hits = staged(scan(df, model, id_col, text, path, dictionary).select(id_col, "text_hash", "start", "end", "is_secret"), "secrets-hits").filter("is_secret")
-    spans = hits.groupBy(F.col(id_col).alias("_of"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end")), asc=False).alias("_spans"))
+    spans = hits.groupBy(F.col(id_col).alias("_of"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     has = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False)).alias("_has")
     # The row travels whole, so that no column of the caller's can clash.
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), has)
     joined = rows.filter("_has").join(spans, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_hash")), "left")
-    # From the last span to the first, so that places before stay valid.
     old = F.col("_row")[text]
-    mask = lambda t, s: F.overlay(t, F.lit(MASK), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-    masked = F.when(F.col("_spans").isNull(), old).otherwise(F.reduce("_spans", old, mask))
+    masked = F.when(F.col("_spans").isNull(), old).otherwise(masked_text(old, F.col("_spans")))
     out = joined.select(*(masked.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns))
     return out.unionByName(rows.filter("NOT _has").select(*(F.col("_row")[c].alias(c) for c in df.columns)))

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from signalbase.llm.html import extract_text, main_text
+from signalbase.llm.html import Page, extract_text, main_text
 
 BODY = "This is the first paragraph of a story, and it is long enough to be one. It has two sentences."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
@@ -122,3 +122,19 @@ def test_the_threshold_decides_on_generated_pages(spark):
 
 def test_a_page_without_an_article_is_empty():
     assert main_text("<body><nav><a>Home</a></nav><footer><p>Imprint, privacy, and so on.</p></footer></body>") == ""
+
+
+@pytest.mark.parametrize("page", ["<div class=ad>x", "<div class=ad><h1>x", "<li class=share>x", "<main><form>x", "<table><tr><td>x"])
+def test_deeply_nested_elements_take_linear_time(page):
+    began = time.process_time()
+    main_text(page * 50_000)
+    assert time.process_time() - began < 20
+
+
+def test_items_and_cells_end_each_other_across_blocks():
+    page = "<article><h1>Head line</h1><ul><li><div>One, two.<li><p>Three, four.<ul><li>Five, six.</ul><li>Seven.</ul><table><tr><th>Head, of it.<tr><td>A cell, left.<td>A cell, right.</table></article>"
+    assert main_text(page) == "Head line One, two. Three, four. Five, six. Seven. Head, of it. A cell, left. A cell, right."
+    parsed = Page(page)
+    depth = lambda k: 0 if k <= 0 else 1 + depth(parsed.paths[k][0])
+    at = {text: depth(path) for path, text, _ in parsed.nodes}
+    assert at["Seven."] == 3 and at["Five, six."] == 5 and at["A cell, right."] == 4

@@ -67,3 +67,10 @@ def test_rows_come_in_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     positions = [r["position"] for r in mix(docs).collect() if r["position"] is not None]
     assert positions == sorted(positions)
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(1, "a b c d", "s", "mine", 5, "of", "h")] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _position int, _of string, _hash string")
+    out = taken_rows(frame)
+    assert out.columns == frame.columns and {tuple(r) for r in out.collect()} == set(rows)

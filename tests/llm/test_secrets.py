@@ -138,3 +138,23 @@ def test_labelled_rows_are_bounded_by_a_hash_sample(spark):
     small = secrets.train(findings.orderBy("doc_id"), trees=3, depth=3, most=600)
     again = secrets.train(findings.orderBy("label"), trees=3, depth=3, most=600)
     assert small.transitions == again.transitions
+
+
+def test_masks_in_texts_of_any_length(spark):
+    """Blocks against a mask over the whole text, with spans at and across the edges of blocks, and very many spans."""
+    size, mask = secrets.MASKED, secrets.MASK
+    long = "aé\U0001f600" * size
+    edges = [(0, 3), (size - 5, size), (size, size + 4), (2 * size - 3, 2 * size + 3), (2 * size + 3, 2 * size + 4), (3 * size - 1, 3 * size)]
+    many = [(20 * k + 3, 20 * k + 17) for k in range(100_000)]
+    cases = [(long, edges), ("key " * 500_000, many), ("x" * (3 * size), [(5, 3 * size - 5)]), ("short", []), ("whole", [(0, 5)])]
+    frame = spark.createDataFrame(cases, "text string, spans array<struct<start:long,end:long>>")
+
+    def whole(text, spans):
+        at, out = 0, []
+        for start, end in spans:
+            out += [text[at:start], mask]
+            at = end
+        return "".join([*out, text[at:]])
+
+    got = [r[0] for r in frame.select(secrets.masked_text(frame["text"], frame["spans"])).collect()]
+    assert got == [whole(*c) for c in cases]
