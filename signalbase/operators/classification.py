@@ -9,13 +9,13 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbase import config, schema
 from signalbase.functions import classify, text
 from signalbase.operators.numbering import numbered
+from signalbase.sources.files import exists
 from signalbase.sources.shared import shared_dir, staged
 
 
@@ -176,17 +176,18 @@ def ask_and_keep(requests: DataFrame, classifier: Classifier, folder: str, flush
     is not asked again, so a run that broke off goes on where it was.
     """
     spark = requests.sparkSession
-    requests = staged(requests, "requests")
-    waves = max(1, -(-requests.count() // flush))
+    requests = todo = staged(requests, "requests")
+    if exists(spark, folder):
+        kept = spark.read.schema(ANSWERS).parquet(folder)
+        same = (kept["month"].eqNullSafe(todo["month"])) & (kept["batch"] == todo["batch"]) & (kept["key"] == F.xxhash64(todo["items"]))
+        todo = todo.join(kept, same, "left_anti")
+    # What is left to ask is settled once, and a wave reads its own folder only, so work grows with the batches.
+    waves = max(1, -(-todo.count() // flush))
+    path = f"{shared_dir(spark)}/signalbase/waves-{uuid.uuid4().hex}"
+    todo.select("month", "batch", "items").withColumn("wave", F.pmod(F.xxhash64("month", "batch"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(path)
+    own = spark.read.schema("month string, batch long, items string, wave int").parquet(path)
     for wave in range(waves):
-        todo = requests.filter(F.pmod(F.xxhash64("month", "batch"), F.lit(waves)) == wave)
-        try:
-            kept = spark.read.schema(ANSWERS).parquet(folder)
-            same = (kept["month"].eqNullSafe(todo["month"])) & (kept["batch"] == todo["batch"]) & (kept["key"] == F.xxhash64(todo["items"]))
-            todo = todo.join(kept, same, "left_anti")
-        except AnalysisException:
-            pass  # nothing is kept yet
-        ask(todo, classifier, **how).write.mode("append").parquet(folder)
+        ask(own.filter(F.col("wave") == wave), classifier, **how).write.mode("append").parquet(folder)
     kept = spark.read.schema(ANSWERS).parquet(folder)
     asked = requests.select("month", "batch", F.xxhash64("items").alias("key"))
     # A wave that was written twice (its folder was kept, its run was not) gives one answer.
