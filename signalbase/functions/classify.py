@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from signalbase import config, schema
+from signalbase import config
 from signalbase.functions.text import blank_to, normalize_category
 
 
@@ -72,25 +71,37 @@ def _salvaged(text: Column, first: str, last: str) -> Column:
 
 
 def _typed(result: Column) -> Column:
-    """A result with its id and confidence as numbers, null where they are none."""
-    return F.struct(
-        result["id"].try_cast("bigint").alias("id"),
-        result["category"].alias("category"),
-        result["confidence"].try_cast("double").alias("confidence"),
-        result["reason"].alias("reason"),
-    )
+    """An element as struct(id, category, confidence, reason); null what it has not got, or not in that type."""
+    field = lambda name, kind: F.try_variant_get(result, f"$.{name}", kind).alias(name)
+    return F.struct(field("id", "bigint"), field("category", "string"), field("confidence", "double"), field("reason", "string"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def _only(text: Column) -> Column:
+    """The one JSON value of a text; null where there is none, or more than one."""
+    # The parser stops after a value; as an element of an array, what follows is seen.
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(values) == 1, values[0])
 
 
 def parse_model_array(text: Column) -> Column:
-    """The JSON array in a model's answer, code fences and chatter stripped; null where it does not parse."""
-    return F.transform(F.from_json(_salvaged(text, "[", "]"), T.ArrayType(schema.MODEL_RESULT)), _typed)
+    """The objects of the JSON array in a model's answer, code fences and chatter stripped; null where it is no JSON array.
+
+    Elements that are no objects are left out and fields of another type are
+    null, so one misshapen element does not lose the batch. What names a key
+    twice is no JSON here.
+    """
+    elements = F.try_variant_get(_only(_salvaged(text, "[", "]")), "$", "array<variant>")
+    return F.transform(F.filter(elements, _is_object), _typed)
 
 
 def parse_model_object(text: Column) -> Column:
-    """The JSON object in a model's answer; null where it does not parse."""
-    inner = _salvaged(text, "{", "}")
-    # from_json alone gives a row of nulls for what is no JSON.
-    return F.when(F.get_json_object(inner, "$").startswith("{"), _typed(F.from_json(inner, schema.MODEL_RESULT)))
+    """The JSON object in a model's answer; null where it is none."""
+    parsed = _only(_salvaged(text, "{", "}"))
+    return F.when(_is_object(parsed), _typed(parsed))
 
 
 def coerced(result: Column, vocabulary: Sequence[str]) -> Column:

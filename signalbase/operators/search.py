@@ -162,7 +162,12 @@ def category_facets(records: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     A category that the vocabulary lists twice comes twice.
     """
     seen = records.groupBy(text.blank_to(F.col("category"), config.UNCLASSIFIED).alias("category")).agg(F.count("*").alias("n"), F.max(F.struct("date", "title", (-F.col("ingest_ord")).alias("o"))).alias("first"))
-    spark = records.sparkSession
+    return facets_of(seen, vocabulary)
+
+
+def facets_of(seen: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """The facets of categories counted already, as (category, n, first)."""
+    spark = seen.sparkSession
     listed = spark.createDataFrame(list(enumerate(vocabulary)), "vocab_ord long, path string").select("vocab_ord", text.normalize_category_ui(F.col("path")).alias("category"))
     both = seen.join(listed, "category", "full_outer")
     return both.select("category", F.coalesce("n", F.lit(0)).alias("n"), "vocab_ord", "first")
@@ -174,7 +179,11 @@ def facet_order() -> tuple[Column, ...]:
 
 def category_tree(records: DataFrame, vocabulary: Sequence[str], needle: str = "", groups: Sequence[str] = config.GROUP_ORDER) -> DataFrame:
     """A row for each category that the needle shows, with its group's rank and total."""
-    facets = category_facets(records, vocabulary)
+    return tree_of(category_facets(records, vocabulary), needle, groups)
+
+
+def tree_of(facets: DataFrame, needle: str = "", groups: Sequence[str] = config.GROUP_ORDER) -> DataFrame:
+    """The tree of facets counted already."""
     q = needle.strip().lower()
     if q:
         facets = facets.filter(F.contains(F.lower("category"), F.lit(q)) | F.contains(F.lower(text.category_full(F.col("category"))), F.lit(q)))

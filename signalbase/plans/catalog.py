@@ -20,7 +20,7 @@ from signalbase.operators import classification, knowledge, search, term_index
 from signalbase.operators import records as rec
 from signalbase.plans import fixtures as fx
 from signalbase.plans.stats import BuildReport
-from signalbase.sources import state, store
+from signalbase.sources import state, store, summaries
 from signalbase.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 NEWEST = "ORDER BY date DESC, title DESC, ingest_ord"
 LIST = "ingest_ord, date, title, category"
+_BATCHES = "batched AS (SELECT *, row_number() OVER (PARTITION BY substr(date, 1, 7) ORDER BY date DESC, title DESC, ingest_ord) - 1 AS idx FROM records)"
 VOCAB_SQL = "(SELECT unnest([" + ", ".join(f"'{v}'" for v in fx.VOCABULARY) + f"]) AS path, unnest(range({len(fx.VOCABULARY)})) AS vocab_ord)"
 LEAF_SQL = "(SELECT unnest([" + ", ".join(f"'{leaf.name}'" for leaf in fx.LEAVES) + f"]) AS category, unnest(range({len(fx.LEAVES)})) AS leaf_ord)"
 
@@ -177,16 +178,38 @@ add(
         {_ESC.format(f"coalesce(nullif(title, ''), '{config.NO_TITLE}')")} AS title_html, {_ESC.format('url')} AS url_html, {_ESC.format(f"coalesce(nullif(substr(body, 1, 300), ''), '{config.NO_BODY}')")} AS summary_html,
         replace(category, '-', ' / ') AS category_html, category = '{config.UNRELATED}' AS is_unrelated FROM classified"""),
 )
-add("parse_model_array", lambda s, d: fx.answers(s, d).select("id", F.posexplode_outer(classify.parse_model_array(F.col("answer"))).alias("pos", "r")).select("id", F.col("pos").cast("long").alias("pos"), "r.category", "r.confidence", "r.reason"))
-add("parse_model_object", lambda s, d: fx.answers(s, d).select("id", classify.parse_model_object(F.col("answer")).alias("r")).select("id", "r.category", "r.confidence", "r.reason"))
+add(
+    "parse_model_array",
+    lambda s, d: fx.answers(s, d).select("id", F.posexplode_outer(classify.parse_model_array(F.col("answer"))).alias("pos", "r")).select("id", F.col("pos").cast("long").alias("pos"), F.col("r.id").alias("of"), "r.category", "r.confidence", "r.reason"),
+    f"""WITH {fx.ANSWERS_SQL}, held AS (SELECT id, TRY_CAST(nullif(regexp_extract(answer, '(?s)\\[.*\\]'), '') AS JSON) AS j FROM answers),
+    objects AS (SELECT id, j, CASE WHEN j IS NULL THEN [NULL] ELSE list_filter(CAST(j AS JSON[]), lambda x: json_type(x) = 'OBJECT') END AS xs FROM held),
+    each AS (SELECT id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM objects)
+    SELECT id, CASE WHEN x IS NOT NULL THEN CAST(k - 1 AS BIGINT) END AS pos, TRY_CAST(x->>'$.id' AS BIGINT) AS of, x->>'$.category' AS category, TRY_CAST(x->>'$.confidence' AS DOUBLE) AS confidence, x->>'$.reason' AS reason FROM each""",
+)
+add(
+    "parse_model_object",
+    lambda s, d: fx.answers(s, d).select("id", classify.parse_model_object(F.col("answer")).alias("r")).select("id", F.col("r.id").alias("of"), "r.category", "r.confidence", "r.reason"),
+    f"""WITH {fx.ANSWERS_SQL}, held AS (SELECT id, TRY_CAST(nullif(regexp_extract(answer, '(?s)\\{{.*\\}}'), '') AS JSON) AS x FROM answers)
+    SELECT id, TRY_CAST(x->>'$.id' AS BIGINT) AS of, x->>'$.category' AS category, TRY_CAST(x->>'$.confidence' AS DOUBLE) AS confidence, x->>'$.reason' AS reason FROM held""",
+)
 add(
     "vocab_guard",
     lambda s, d: fx.classified(s, d).select("ingest_ord", classify.vocab_guard(text.category_full(F.col("category")), fx.VOCABULARY).alias("guarded")),
     C(f"SELECT ingest_ord, CASE WHEN replace(category, '-', '/') IN ({', '.join(repr(v) for v in fx.VOCABULARY)}) THEN category ELSE '{config.UNRELATED}' END AS guarded FROM classified"),
 )
+
+
+def request_items(spark: SparkSession, d: str) -> DataFrame:
+    """What a model is shown of each record, read back out of the batches' JSON."""
+    asked = classification.request_items(classification.batches(fx.records(spark, d), 20, rec.newest_first()))
+    items = F.from_json("items", "array<struct<id:bigint,title:string,body:string,url:string,type:string>>")
+    return asked.select("month", "batch", F.posexplode(items).alias("pos", "x")).select("month", "batch", F.col("pos").cast("long").alias("pos"), "x.*")
+
+
 add(
     "request_items",
-    lambda s, d: classification.request_items(classification.batches(fx.records(s, d), 20, rec.newest_first())),
+    request_items,
+    f"""WITH {fx.RECORDS_SQL}, {_BATCHES} SELECT substr(date, 1, 7) AS month, idx // 20 AS batch, idx % 20 AS pos, idx AS id, title, substr(body, 1, {config.REQUEST_CHARS}) AS body, url, intelligence_type AS type FROM batched""",
 )
 add(
     "knowledge_profile",
@@ -280,8 +303,51 @@ add(
     lambda s, d: knowledge.evidence(fx.classified(s, d)).select("category", "rank", "ingest_ord", "title", "url", "date", "intelligence_type"),
     C("SELECT category, rank, ingest_ord, title, url, date, intelligence_type FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY date DESC, title DESC, ingest_ord) AS rank FROM classified) WHERE rank <= 30"),
 )
-add("evidence_params", lambda s, d: knowledge.evidence(fx.metered(s, d)).select("category", "rank", "ingest_ord", F.to_json("key_parameters").alias("params")))
-add("knowledge_docs", lambda s, d: knowledge.knowledge_docs(fx.metered(s, d), fx.LEAVES).select("ord", "category", F.to_json("summary").alias("summary"), F.to_json("evidence").alias("evidence")))
+
+
+def evidence_params(spark: SparkSession, d: str) -> DataFrame:
+    rows = knowledge.evidence(fx.metered(spark, d)).select("category", "rank", "ingest_ord", F.posexplode_outer("key_parameters").alias("pos", "p"))
+    return rows.select("category", "rank", "ingest_ord", F.col("pos").cast("long").alias("pos"), "p.value_raw", "p.value_numeric", "p.unit", "p.evidence_text")
+
+
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY date DESC, title DESC, ingest_ord) AS rank FROM metered)"
+add(
+    "evidence_params",
+    evidence_params,
+    f"""WITH {fx.METERED_SQL}, {_RANKED} SELECT r.category, r.rank, r.ingest_ord, f.pos, f.value_raw, f.value_numeric, f.unit, f.evidence_text
+        FROM ranked r LEFT JOIN flat f ON f.ingest_ord = r.ingest_ord AND f.pos < {config.EVIDENCE_PARAMS} WHERE r.rank <= {config.EVIDENCE_ROWS}""",
+)
+
+
+def knowledge_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Each category's document, its lists as lines of text."""
+    docs = knowledge.knowledge_docs(fx.metered(spark, d), fx.LEAVES)
+    lines = lambda c, of: F.array_join(F.transform(c, of), "\n")
+    return docs.select(
+        "category",
+        "summary.basic_profile",
+        F.col("summary.bottlenecks")[0].alias("bottleneck"),
+        lines("summary.key_metrics", lambda x: F.concat_ws(" ", x["count"].cast("string"), x["unit"])).alias("metrics"),
+        lines("summary.frontier_values", lambda x: F.concat_ws(" ", x["value_raw"], x["evidence_text"])).alias("frontier"),
+        lines("evidence", lambda x: F.concat_ws(" ", x["date"], x["title"], x["intelligence_type"], F.array_join(F.transform(x["key_parameters"], lambda p: p["value_raw"]), ","))).alias("shown"),
+    )
+
+
+add(
+    "knowledge_docs",
+    knowledge_docs,
+    f"""WITH {fx.METERED_SQL}, {_RANKED},
+    units AS (SELECT category, unit, count(*) AS n, min(k) AS first FROM (SELECT *, row_number() OVER (ORDER BY date DESC, title DESC, ingest_ord, pos) AS k FROM flat) GROUP BY category, unit),
+    metrics AS (SELECT category, string_agg(n || ' ' || unit, chr(10) ORDER BY rank) AS metrics FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, first) AS rank FROM units) WHERE rank <= {config.KEY_METRICS} GROUP BY category),
+    frontier AS (SELECT category, string_agg(value_raw || ' ' || evidence_text, chr(10) ORDER BY rank) AS frontier
+      FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY date DESC, title DESC, ingest_ord, pos) AS rank FROM flat) WHERE rank <= {config.FRONTIER_VALUES} GROUP BY category),
+    held AS (SELECT ingest_ord, string_agg(value_raw, ',' ORDER BY pos) AS params FROM flat WHERE pos < {config.EVIDENCE_PARAMS} GROUP BY ingest_ord),
+    shown AS (SELECT category, string_agg(date || ' ' || title || ' ' || intelligence_type || ' ' || coalesce(params, ''), chr(10) ORDER BY rank) AS shown FROM ranked LEFT JOIN held USING (ingest_ord) WHERE rank <= {config.EVIDENCE_ROWS} GROUP BY category),
+    counts AS (SELECT category, count(ingest_ord) AS n, count(ingest_ord) FILTER (intelligence_type = 'news') AS news, count(ingest_ord) FILTER (intelligence_type = 'literature') AS literature
+      FROM (SELECT category FROM {LEAF_SQL} UNION SELECT category FROM metered) LEFT JOIN metered USING (category) GROUP BY category)
+    SELECT category, printf('{config.PROFILE}', n, news, literature) AS basic_profile, '{config.BOTTLENECK}' AS bottleneck, coalesce(metrics, '') AS metrics, coalesce(frontier, '') AS frontier, coalesce(shown, '') AS shown
+    FROM counts LEFT JOIN metrics USING (category) LEFT JOIN frontier USING (category) LEFT JOIN shown USING (category)""",
+)
 
 # Sources, store, carry-forward
 
@@ -331,7 +397,38 @@ def changed_month(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("changed_month", changed_month, C("SELECT ingest_ord, month, CASE WHEN month = '2026-03' THEN 'changed' ELSE category END AS category FROM classified"))
-add("job_descriptor", lambda s, d: store.job_descriptor(s.createDataFrame([("2026-07-02T02:09:19.206814+00:00", "v1")], "processed_at string, taxonomy_version string")))
+
+
+def store_page(spark: SparkSession, d: str) -> DataFrame:
+    """A late page of a store, of which only its days' months are read."""
+    return store.store_page(spark, stored(spark, d), search.Query(kind="literature", page=3)).select("ingest_ord", "date", "title", "category")
+
+
+add("store_page", store_page, C(f"SELECT {LIST} FROM classified WHERE intelligence_type = 'literature' {NEWEST} LIMIT 40 OFFSET 80"))
+
+
+def store_facets(spark: SparkSession, d: str) -> DataFrame:
+    """The category tree of a store from its months' summaries."""
+    return summaries.category_tree(store.read_summary(spark, stored(spark, d)), fx.VOCABULARY, groups=fx.GROUPS).drop("first")
+
+
+add("store_facets", store_facets, _ORACLES["category_tree"])
+add("store_header", lambda s, d: summaries.header(store.read_summary(s, stored(s, d))), C("SELECT count(*) AS total, count(*) FILTER (intelligence_type = 'news') AS news, count(*) FILTER (intelligence_type = 'literature') AS literature, max(date) AS latest FROM classified"))
+
+
+def job_descriptor(spark: SparkSession, d: str) -> DataFrame:
+    """A job for each source as of its newest record, read back out of the JSON."""
+    meta = fx.records(spark, d).groupBy(F.col("source").alias("taxonomy_version")).agg(F.max("date").alias("processed_at"))
+    field = lambda path: F.get_json_object("job", f"$.{path}").alias(path.split(".")[-1])
+    return store.job_descriptor(meta).select(*map(field, ("created_at", "taxonomy_version", "extractor_version", "target_unclassified", "strategy.cache_key", "prompt_file")))
+
+
+add(
+    "job_descriptor",
+    job_descriptor,
+    R(f"""SELECT max(date) AS created_at, source AS taxonomy_version, '{config.JOB_EXTRACTOR}' AS extractor_version, '{config.TARGET_ROWS}' AS target_unclassified,
+        '{json.dumps(list(config.JOB_CACHE_KEY), separators=(",", ":"))}' AS cache_key, 'prompts/classification.md' AS prompt_file FROM records GROUP BY source"""),
+)
 add("carry_eligible", lambda s, d: rec.carry_eligible(fx.prior(s, d)).select("content_hash", "category", "ingest_ord"), P("SELECT content_hash, category, ingest_ord FROM eligible"))
 add("carry_dedupe", lambda s, d: rec.carry_dedupe(rec.carry_eligible(fx.prior(s, d))).select("content_hash", "category", F.col("classification_confidence").alias("confidence")), P("SELECT content_hash, category, confidence FROM deduped"))
 
@@ -368,7 +465,6 @@ add("pending_by_date", lambda s, d: classification.pending(fx.classified(s, d),
 _DONE = f"(classifier_model IS NOT DISTINCT FROM '{fx.MODEL}' AND category <> '{config.UNCLASSIFIED}')"
 add("pending_resume", lambda s, d: classification.pending(fx.classified(s, d), fx.MODEL, resume=True).select("ingest_ord", "category"), C(f"SELECT ingest_ord, category FROM classified WHERE NOT {_DONE}"))
 add("classify_progress", lambda s, d: classification.progress(fx.classified(s, d), fx.MODEL), C(f"SELECT count(*) AS target, count(*) FILTER ({_DONE}) AS classified, count(*) FILTER (NOT {_DONE}) AS pending FROM classified"))
-_BATCHES = "batched AS (SELECT *, row_number() OVER (PARTITION BY substr(date, 1, 7) ORDER BY date DESC, title DESC, ingest_ord) - 1 AS idx FROM records)"
 
 
 def _batched(spark: SparkSession, d: str) -> DataFrame:

@@ -149,15 +149,23 @@ eligible AS (SELECT * FROM prior WHERE classifier_model IN ('{config.TRUSTED_MOD
 deduped AS (SELECT * FROM eligible QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY substr(date, 1, 7) DESC, ingest_ord DESC) = 1)"""
 
 
+_ITEM = '{"id": %d, "category": "%s", "confidence": 0.5, "reason": "%s"}'
+_QUOTED = '{"id": "%d", "category": "%s", "confidence": "0.25", "reason": "%s"}'
+#: Shapes of answers around one object; the last three hold more than the model was asked for.
+SHAPES = ("[#]", "```json\n[#]\n```", "Here it is: [#] done", "[#", "no idea", "#", '["noise", #, 7, null]', '[#, {"id": "x", "confidence": [1], "reason": "odd"}]')
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, answer): a model's text for each of the smallest tables' nations, in each shape in turn."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    item = F.format_string('{"id": %d, "category": "alpha/the", "confidence": 0.5, "reason": "%s"}', "n_nationkey", "n_name")
-    shapes = (
-        F.concat(F.lit("["), item, F.lit("]")),
-        F.concat(F.lit("```json\n["), item, F.lit("]\n```")),
-        F.concat(F.lit("Here it is: ["), item, F.lit("] done")),
-        F.concat(F.lit("["), item),
-        F.lit("no idea"),
-    )
-    return nation.select(F.col("n_nationkey").cast("long").alias("id"), F.element_at(F.array(*shapes), (F.col("n_nationkey") % 5) + 1).alias("answer"))
+    """(id, answer): a model's text for each document, in each shape in turn, its numbers quoted now and then."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
+    category = F.when(F.col("doc_id") % 3 == 0, VOCABULARY[0]).otherwise(F.col("lang"))
+    item = F.when(F.col("doc_id") % 7 == 0, F.format_string(_QUOTED, "doc_id", category, "source")).otherwise(F.format_string(_ITEM, "doc_id", category, "source"))
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("doc_id") % len(SHAPES)).cast("int") + 1)
+    return docs.select(F.col("doc_id").alias("id"), F.replace(shape, F.lit("#"), item).alias("answer"))
+
+
+_SHAPE_SQL = "list_extract([" + ", ".join("'" + s.replace("\n", "' || chr(10) || '") + "'" for s in SHAPES) + f"], CAST(doc_id % {len(SHAPES)} AS INTEGER) + 1)"
+_CATEGORY_OF_ANSWER = f"CASE WHEN doc_id % 3 = 0 THEN '{VOCABULARY[0]}' ELSE lang END"
+#: The same in SQL, and the JSON that the answers hold.
+ANSWERS_SQL = f"""answers AS (SELECT doc_id AS id, replace({_SHAPE_SQL}, '#', CASE WHEN doc_id % 7 = 0 THEN printf('{_QUOTED}', doc_id, {_CATEGORY_OF_ANSWER}, source) ELSE printf('{_ITEM}', doc_id, {_CATEGORY_OF_ANSWER}, source) END) AS answer
+  FROM documents)"""

@@ -38,6 +38,3 @@ LEAF = T.StructType(
 )
 
 TAXONOMY = T.StructType([T.StructField("version", T.StringType()), T.StructField("source", T.StringType()), T.StructField("leaves", T.ArrayType(LEAF))])
-
-#: A model's result as it stands in the answer, where numbers may be quoted.
-MODEL_RESULT = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "category", "confidence", "reason")])

@@ -21,7 +21,7 @@ from signalbase.functions import text
 from signalbase.operators.records import newest_first
 from signalbase.operators.search import Query, matches
 from signalbase.plans.stats import BuildReport
-from signalbase.sources import text_index
+from signalbase.sources import summaries, text_index
 from signalbase.sources.files import delete, exists
 
 OPTIONS = {"ignoreNullFields": "false"}
@@ -99,13 +99,6 @@ def snapshot_document(records: DataFrame, meta: dict, knowledge: DataFrame | Non
     return docs.select(F.to_json(F.struct(about.alias("meta"), "records", "knowledge"), OPTIONS).alias("value"))
 
 
-def month_summaries(records: DataFrame, holder: str) -> DataFrame:
-    """``MONTHS`` of some records: counts that add up, so that a store's totals need no records of unchanged months."""
-    kinds = records.groupBy(text.month_key(F.col("date")).alias("month"), "intelligence_type").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("intelligence_type", "n")))
-    return kinds.groupBy("month").agg(F.lit(holder).alias("holder"), F.sum("n").alias("records"), F.map_from_entries(pairs).alias("kinds")).select("month", "holder", "records", "kinds")
-
-
 def _write_shards(records: DataFrame, out: str, form: str) -> None:
     month = records.withColumn("month", text.month_key(F.col("date")))
     # Ranges of the record order: a month of any size is spread over as many tasks as it needs, and small ones share one.
@@ -136,7 +129,9 @@ def write_store(records: DataFrame, folder: str, report: BuildReport, knowledge:
     out = f"{folder.rstrip('/')}/generations/{uuid.uuid4().hex}"
     _write_shards(records, out, form)
     written = _read_processed(spark, out, form)
-    table = month_summaries(written, out)
+    # One pass over what was written, of which all counts are rolled up.
+    summaries.summarise(written).write.parquet(f"{out}/summary")
+    table = summaries.month_kinds(spark.read.schema(summaries.SUMMARY).parquet(f"{out}/summary"), out)
     if before:
         table = _months_of(spark, before[0]).filter(~F.col("month").isin(sorted(months))).unionByName(table)
     table.coalesce(1).write.json(f"{out}/months")
@@ -251,13 +246,14 @@ def read_months(spark: SparkSession, folder: str, months: Sequence) -> DataFrame
     return _read_months(spark, months, generations(spark, folder)[0]["form"])
 
 
-def search_files(spark: SparkSession, folder: str, query: Query) -> DataFrame:
-    """The records of the files that may hold matches of a query: of its months, and of those the ones that may hold its text."""
+def search_files(spark: SparkSession, folder: str, query: Query, only: Collection[str] | None = None) -> DataFrame:
+    """The records of the files that may hold matches of a query: of its months (or those of them in ``only``), and of those the ones that may hold its text."""
     known = generations(spark, folder)
     if not known:
         return spark.createDataFrame([], _COLUMNS)
     form = known[0]["form"]
     months = _months_of(spark, known[0]).filter(query.month_condition()).orderBy("month").collect()
+    months = [m for m in months if only is None or m["month"] in only]
     parts = []
     for holder in sorted({m["holder"] for m in months}):
         own = [m for m in months if m["holder"] == holder]
@@ -278,6 +274,76 @@ def search_store(spark: SparkSession, folder: str, query: Query) -> DataFrame:
     return matches(search_files(spark, folder, query), query)
 
 
+def read_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The summaries of all months of the store; of generations that have none, counted from their shards."""
+    known = generations(spark, folder)
+    months = _months_of(spark, known[0]).collect() if known else []
+    parts = []
+    for holder in sorted({m["holder"] for m in months}):
+        own = [m for m in months if m["holder"] == holder]
+        if exists(spark, f"{holder}/summary"):
+            parts.append(spark.read.schema(summaries.SUMMARY).parquet(f"{holder}/summary").filter(F.col("month").isin([m["month"] for m in own])))
+        else:
+            parts.append(summaries.summarise(_read_months(spark, own, known[0]["form"])))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], summaries.SUMMARY)
+
+
+def date_counts(spark: SparkSession, folder: str, query: Query) -> list:
+    """(month, date, n) of a query's matches, newest first: from summaries, or with a text from the files that may hold it."""
+    if query.needle:
+        found = search_store(spark, folder, query).groupBy("month", F.coalesce("date", F.lit("")).alias("date")).agg(F.count("*").alias("n"))
+    else:
+        found = read_summary(spark, folder).filter(query.condition()).groupBy("month", "date").agg(F.sum("n").alias("n"))
+    return found.orderBy(F.desc("date")).collect()
+
+
+def _span(spark: SparkSession, folder: str, query: Query, days: Sequence) -> DataFrame:
+    """A query's matches on some days that follow each other; only their months are read."""
+    if not days:
+        return spark.createDataFrame([], _COLUMNS)
+    found = matches(search_files(spark, folder, query, {d["month"] for d in days}), query)
+    date = F.coalesce("date", F.lit(""))
+    return found.filter((date <= days[0]["date"]) & (date >= days[-1]["date"]))
+
+
+def store_page(spark: SparkSession, folder: str, query: Query) -> DataFrame:
+    """A page of matches in record order, as ``search`` gives; a page beyond the last gives the last one.
+
+    The counts by date tell on which days the page lies, and only the months of
+    these are read: the offset left is below one day's matches.
+    """
+    counted = date_counts(spark, folder, query)
+    pages = max(1, -(-sum(d["n"] for d in counted) // query.page_size))
+    start = (min(max(1, query.page), pages) - 1) * query.page_size
+    days, before, past = [], 0, 0
+    for day in counted:
+        if past + day["n"] > start and past < start + query.page_size:
+            before = before if days else past
+            days.append(day)
+        past += day["n"]
+    return _span(spark, folder, query, days).orderBy(*newest_first()).offset(start - before).limit(query.page_size)
+
+
+def page_after(spark: SparkSession, folder: str, query: Query, last: tuple[str, str, int]) -> DataFrame:
+    """The page that follows the record at ``last``, its (date, title, ingest_ord): a seek, without an offset.
+
+    Days are taken from that record's on, until those after it fill the page.
+    """
+    date, title, ordinal = last
+    days, held = [], 0
+    for day in date_counts(spark, folder, query):
+        if day["date"] > date:
+            continue
+        days.append(day)
+        held += day["n"] if day["date"] < date else 0
+        if held >= query.page_size:
+            break
+    own = F.coalesce("date", F.lit(""))
+    same = own == date
+    beyond = (own < date) | (same & (F.col("title") < title)) | (same & (F.col("title") == title) & (F.col("ingest_ord") > ordinal))
+    return _span(spark, folder, query, days).filter(beyond).orderBy(*newest_first()).limit(query.page_size)
+
+
 def known_files(spark: SparkSession, folder: str) -> set[tuple[str, str, int, int]] | None:
     """(source, name, bytes, time of change) of the drops in the newest generation; None where it does not say."""
     at = newest(spark, folder)
