@@ -3,8 +3,8 @@
 A text is brought into canonical form: copyright lines dropped, lower case,
 equivalent spellings made one, punctuation and white space reduced to single
 spaces. Its digest is joined to a table of known licences' digests. So are
-the digests of single lines that mention a licence, for notices; lines that
-name one and are not known are counted.
+the digests of single lines that mention a licence or begin a word as a known
+name does, for notices; lines that name one and are not known are counted.
 
 A copyright line is known by its form, a mark, a year or a name after the
 word, so that a licence may be wrapped at any width: lines that go on from
@@ -22,6 +22,8 @@ linear time. Other columns, of any name, are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +163,8 @@ _MARKERS = r"[\s/*#;!<>\-]*"
 #: A copyright line, and lines that go on from a sentence before.
 _COPYRIGHT = rf"^{_MARKERS}(?:(?i:copyright)\s*:?\s*(?:\([cC]\)|©|[0-9]{{4}}|[<\[{{]|(?i:by)\s)|[Cc](?:opyright|OPYRIGHT)\s+[A-Z](?:[a-z]|\.)|(?:\([cC]\)|©)\s*(?:[0-9]{{4}}|(?i:copyright))|(?i:all rights reserved)[\s.]*$)"
 _GOES_ON = rf"(?i)^{_MARKERS}copyright\s+(?:holders?|owners?|notices?|laws?|interests?|licen[cs]es?|statements?|treaty|protection|disclaimers?|management|permission)\b"
-_LICENSE_LINE = r"(?i)licen[cs]e|permission|redistribution"
+#: What a line that is looked up has in it: the first letters of a known name, or a word of one-line grants.
+_LICENSE_LINE = r"(?i)licen[cs]e|permission|redistribution|(?<![\p{L}\p{N}])(?:" + "|".join(sorted({re.match("[A-Za-z]+", full)[0] for _, names in _NAMES + _CC_NAMES for full in names})) + r")"
 #: A line that names a licence, whether known or not.
 _NAMING = r"(?i)\b(?:licen[cs]ed|released|distributed|published|available) under\b|spdx-license-identifier"
 
@@ -187,12 +190,15 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = TEXT
     return rows.union(more).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def find_licenses(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, text_digest, license, notices, n_notices, n_unknown) for every row: the whole text's licence, those its lines name, and how many lines name another."""
+def find_licenses(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", mentions: str = _LICENSE_LINE) -> DataFrame:
+    """(id_col, text_digest, license, notices, n_notices, n_unknown) for every row: the whole text's licence, those its lines name, and how many lines name another.
+
+    Lines are looked up that match ``mentions``, which all built-in notices do; a caller's own table may need another pattern.
+    """
     known = staged(known_digests(df.sparkSession) if known is None else known, "license-digests")
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_LICENSE_LINE) | x.rlike(_NAMING))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(mentions) | x.rlike(_NAMING))
     line = lambda x: F.struct(digest(x).alias("digest"), x.rlike(_NAMING).alias("naming"))
     rows = rows.select("id", "text_hash", digest(F.col("text")).alias("text_digest"), F.coalesce(F.transform(lines, line), F.array().cast("array<struct<digest:string,naming:boolean>>")).alias("lines"))
     # Read twice below; only digests are written.
@@ -232,7 +238,7 @@ WITH known AS (SELECT digest, min(license) AS license FROM (
     SELECT sha256({_canonical_sql('text')}) AS digest, license FROM (VALUES {quoted}) AS t(license, text)
     UNION ALL SELECT * FROM (VALUES {more}) AS m(digest, license)) GROUP BY 1),
 lines AS (SELECT doc_id, sha256({_canonical_sql('line')}) AS digest, regexp_matches(line, '{_NAMING}') AS naming
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{_LICENSE_LINE}') OR regexp_matches(line, '{_NAMING}')),
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 named AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license) FILTER (license IS NOT NULL))), ',') AS notices,
     count(DISTINCT CASE WHEN license IS NOT NULL THEN digest END) AS n_notices, count(*) FILTER (license IS NULL AND naming) AS n_unknown FROM lines LEFT JOIN known USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS text_digest FROM documents)

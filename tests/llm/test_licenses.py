@@ -105,6 +105,16 @@ LINES = [
 ]
 
 
+def test_every_notice_of_the_table_is_found(spark):
+    rows = [(k, f"A line before.\n{mark}{line}\nAnd one after.") for k, (_, line) in enumerate(licenses.NOTICES) for mark in ("", "# ", "_")]
+    got = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # Of names that share a canonical form the first counts.
+    first = {}
+    for name, line in licenses.NOTICES:
+        first[plain_canonical(line)] = min(name, first.get(plain_canonical(line), name))
+    assert len(got) == len(rows) and all(r["notices"] == first[plain_canonical(licenses.NOTICES[r["doc_id"]][1])] for r in got)
+
+
 def test_lines_that_name_a_licence(spark):
     frame = spark.createDataFrame([(k, t, "x", 1) for k, (t, *_) in enumerate(LINES)] * 2, "doc_id long, text string, license string, id long")
     got = licenses.find_licenses(frame).collect()
