@@ -119,16 +119,16 @@ def one_of_each(df: DataFrame, roots: DataFrame, id_col: str, text: str) -> Data
     their own. Rows equal in id and text stay once, as the smallest of them;
     rows of equal id and different text are told apart.
     """
-    rows = df.withColumn("_v", text_hash(text)).withColumn("_null", F.col(id_col).isNull())
-    own = rows.groupBy("_null", F.col(id_col).alias("_id"), "_v").agg(F.count("*").alias("_copies"))
-    least = own.groupBy("_v").agg(F.min(F.struct("_null", "_id", "_copies")).alias("_least"))
-    least = least.join(roots.select(F.col("v").alias("_v"), "root"), "_v", "left").withColumn("root", F.coalesce("root", "_v"))
-    chosen = least.groupBy("root").agg(F.min(F.struct("_least._null", "_least._id", "_v", "_least._copies")).alias("_one"))
-    chosen = chosen.select(F.col("_one._id").alias("_id"), F.col("_one._v").alias("_of"), F.col("_one._copies").alias("_copies"))
-    kept = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_of")))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.col(id_col).isNull().alias("null"), text_hash(text).alias("v"))
+    own = rows.groupBy("null", "id", "v").agg(F.count("*").alias("copies"))
+    least = own.groupBy("v").agg(F.min(F.struct("null", "id", "copies")).alias("least"))
+    least = least.join(roots.select("v", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    chosen = least.groupBy("root").agg(F.min(F.struct("least.null", "least.id", "v", "least.copies")).alias("one"))
+    chosen = chosen.select(F.col("one.id").alias("of_id"), F.col("one.v").alias("of_v"), F.col("one.copies").alias("copies"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("v") == F.col("of_v")))
     # Only rows that repeat are shuffled once more.
-    again = kept.filter("_copies > 1").groupBy("_id", "_of").agg(F.min(F.struct(*(df[c] for c in df.columns))).alias("_row"))
-    return kept.filter("_copies = 1").select(*(df[c] for c in df.columns)).unionByName(again.select("_row.*"))
+    again = kept.filter("copies > 1").groupBy("of_id", "of_v").agg(F.min("row").alias("row"))
+    return kept.filter("copies = 1").select("row.*").unionByName(again.select("row.*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
