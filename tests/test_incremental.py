@@ -194,3 +194,17 @@ def test_the_snapshot_reads_the_newest_months(spark, tmp_path):
     snapshot = store.load_json(spark, f"{store.newest(spark, out)}/snapshot", None)
     wanted = [r["ingest_ord"] for r in store.snapshot_head(rows).orderBy(*newest_first()).collect()]
     assert [r["ingest_ord"] for r in snapshot["records"]] == wanted
+
+
+@pytest.mark.parametrize("limit", [term_index.BROADCAST_TERMS, 0])
+def test_terms_are_looked_for_in_words_and_verified_in_texts_only_where_they_hold_white_space(spark, limit):
+    texts = ["alphabetic betas, alphabetic", "the  alphabetic\tsoup of betas", "世界，你好世界。", "soup\tof", " ", "", None, "soup of betasx and x soup", "longwordwithoutanyspaceatall"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "null key betas")], "key int, text string")
+    bare = ["alphabet", "betas", "beta", "as,", "世界", "你好", "wordwith", "a", "s", "none", "th", "spaceatallx"]
+    spaced = ["soup of", "p of b", "betas, alpha", "\t", " ", "  ", "世界，你", "好世界。", "，", "null key b", "x soup x"]
+    for terms in (bare, bare + spaced):
+        got = term_index.contained(frame, ["key"], F.col("text"), spark.createDataFrame([(t,) for t in terms], "term string"), limit)
+        wanted = {(k, t) for k, x in [*enumerate(texts), (None, "null key betas")] for t in terms if x and t in x}
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == wanted
+        assert ("Contains(_low" in got._jdf.queryExecution().optimizedPlan().toString()) == (terms is not bare)
