@@ -29,3 +29,8 @@ def test_no_task_holds_a_whole_wave(spark, tmp_path, monkeypatch):
     assert sum(counts) == 90 and max(counts) < 90
     monkeypatch.setattr(classification, "TASK_BYTES", 100)
     assert len(run("more")) > 1
+
+
+def test_the_earlier_store_is_one_pass_over_the_documents(spark):
+    plan = fixtures.prior(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1
