@@ -1,9 +1,12 @@
-"""Near-duplicates by shingle similarity: minhash bands propose, exact Jaccard decides.
+"""Near-duplicates by shingle similarity: SimHash classes and minhash bands propose, exact Jaccard decides.
 
 A text is the set of its five-word shingles, lower case. Two texts are linked
-where the Jaccard similarity of their sets is 0.8 or more. The index holds a
-text once for each of 16 bands of four minhashes; texts that share a band
-meet in its bucket (at a similarity of 0.8, 0.9998 of all pairs do in one).
+where the Jaccard similarity of their sets is 0.8 or more. Texts whose SimHash
+fingerprints (of the same shingles) are connected by links of two bits or
+fewer (``simhash.py``) meet in the bucket of their class. Similar texts may
+differ in more bits than that, so the index also holds a text once for each
+of 16 bands of four minhashes; texts that share a band meet in its bucket (at
+a similarity of 0.8, 0.9998 of all pairs do in one).
 Members of a bucket are compared by their whole shingle sets, block against
 block, each a task's matrix product of which only stars leave: first within
 blocks that share two leaders, which connects groups of copies in linear
@@ -36,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalbase.llm import simhash
 from signalbase.llm.common import by_size, one_of_each, spread_join, staged, text_hash
 from signalbase.llm.simhash import SEED, components
 
@@ -64,9 +68,15 @@ def band_keys(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), SEED) - (1 << 63) for band in least.reshape(BANDS, ROWS)]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a shingle set, as a signed number."""
+    fp = simhash.packed(simhash.bit_sums(found), len(found))
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
 def keys_and_size(found: np.ndarray) -> list[int]:
-    """The keys of a shingle set's bands, then how many shingles it holds."""
-    return [*band_keys(found), len(found)]
+    """The keys of a shingle set's bands, then its fingerprint and how many shingles it holds."""
+    return [*band_keys(found), fingerprint(found), len(found)]
 
 
 def _mapped(df: DataFrame, name: str, of) -> DataFrame:
@@ -176,6 +186,17 @@ def _pairs(rows: DataFrame, block: int, weight: int) -> DataFrame:
     return cut.select("v", F.lit(False).alias("lead"), "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
+def _of_classes(distinct: DataFrame) -> DataFrame:
+    """(v, copies, size, band, key): the entries of the index by SimHash classes; ``distinct`` holds each text with its ``keys_and_size``."""
+    of = distinct.select("v", "copies", F.element_at("keys", -1).alias("size"), F.element_at("keys", -2).alias("fp"))
+    fps = staged(of.groupBy("fp").agg(F.count("*").alias("n")), "jaccard-fingerprints")
+    roots = components(simhash.links(fps.select("fp"))).withColumnRenamed("v", "fp")
+    # The root of a class, and a fingerprint without a link, is its own key.
+    named = fps.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("key"))
+    met = spread_join(of, staged(named, "jaccard-classes"), ["fp"], of.count())
+    return met.select("v", "copies", "size", F.lit(BANDS).alias("band"), "key")
+
+
 def links(df: DataFrame, text: str = "text", block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """(a, b): text hashes that are connected by links, enough of them to connect each component.
 
@@ -188,14 +209,14 @@ def links(df: DataFrame, text: str = "text", block: int = BLOCK, weight: int = W
     texts = df.select(text_hash(text).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = staged(_mapped(texts, "keys", lambda t: keys_and_size(shingles(t))), "jaccard-keys")
     n_rows = keyed.count()
-    distinct = keyed.groupBy("v").agg(F.min("keys").alias("keys"), F.count("*").alias("copies"))
+    distinct = staged(keyed.groupBy("v").agg(F.min("keys").alias("keys"), F.count("*").alias("copies")), "jaccard-distinct")
     index = distinct.select("v", "copies", F.element_at("keys", -1).alias("size"), F.posexplode(F.slice("keys", 1, BANDS)).alias("band", "key"))
-    index = staged(index, "jaccard-index")
+    index = staged(index.unionByName(_of_classes(distinct)), "jaccard-index")
     buckets = index.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("v").alias("l1"), F.max("v").alias("l2"), F.bit_xor(F.xxhash64("v")).alias("who"))
     # Bands whose buckets hold the same texts are compared once.
     buckets = buckets.filter("n > 1").groupBy("n", "who").agg(F.min(F.struct("band", "key", "all", "l1", "l2")).alias("at")).select("n", "at.*")
     buckets = staged(buckets, "jaccard-buckets")
-    members = staged(spread_join(index, buckets.select("band", "key", "n", "all"), ["band", "key"], BANDS * n_rows), "jaccard-members")
+    members = staged(spread_join(index, buckets.select("band", "key", "n", "all"), ["band", "key"], (BANDS + 1) * n_rows), "jaccard-members")
     wanted = members.groupBy("v").agg(F.max("copies").alias("n"))
     wanted = spread_join(texts, wanted, ["v"], n_rows).groupBy("v").agg(F.min("text").alias("text"))
     sets = staged(_mapped(wanted, "s", lambda t: shingles(t).view(np.int64)), "jaccard-sets")
@@ -212,14 +233,14 @@ def links(df: DataFrame, text: str = "text", block: int = BLOCK, weight: int = W
     named = members.join(known, members["v"] == known["a"], "left").select("v", "size", "band", "key", F.coalesce("label", "v").alias("label"))
     named = staged(named, "jaccard-named")
     open_ = staged(_open(named), "jaccard-open")
-    rows = staged(spread_join(named.select("v", "band", "key", F.col("label").alias("of")), open_, ["band", "key"], BANDS * n_rows), "jaccard-rows")
+    rows = staged(spread_join(named.select("v", "band", "key", F.col("label").alias("of")), open_, ["band", "key"], (BANDS + 1) * n_rows), "jaccard-rows")
     narrow = _blocks(F.col("n"), F.col("size"), block, weight) == 1
     cut = _pairs(rows.filter(narrow), block, weight)
 
     wide = staged(rows.filter(~narrow).select("v", "of").distinct(), "jaccard-wide")
     if wide.isEmpty():
         return near.union(_compared(cut, sets, "jaccard-rest")).distinct()
-    rare = prefixes(sets.join(wide.select("v"), "v")).join(wide, "v").select("v", "size", F.lit(BANDS).alias("band"), "key", "short", F.col("of").alias("label"))
+    rare = prefixes(sets.join(wide.select("v"), "v")).join(wide, "v").select("v", "size", F.lit(BANDS + 1).alias("band"), "key", "short", F.col("of").alias("label"))
     rare = staged(rare, "jaccard-rare")
     groups = rare.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("who"), F.max("short").alias("short"), F.min("label").alias("least"), F.max("label").alias("most"))
     groups = groups.filter("short AND least < most").groupBy("n", "who").agg(F.min(F.struct("band", "key")).alias("at")).select("n", "at.*")

@@ -41,6 +41,19 @@ PAIR_LIMIT = 64
 SEED = 42
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set; their bits are spread by parts, which bounds the memory of a very long text."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return total
+
+
+def packed(total: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes by their ``bit_sums``, unsigned."""
+    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
     """Fingerprint of one text, unsigned."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -53,9 +66,8 @@ def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
     total = np.zeros(64, np.int64)
     for at in range(0, len(grams), 65536):  # bounds the memory of a very long text
         part = grams[at : at + 65536]
-        h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in part), np.uint64, len(part))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(grams), bitorder="little").tobytes(), "little")
+        total += bit_sums(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in part), np.uint64, len(part)))
+    return packed(total, len(grams))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:

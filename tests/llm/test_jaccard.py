@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from signalbase.llm import jaccard
+from signalbase.llm import jaccard, simhash
 
 
 def sets_of(text):
@@ -53,6 +53,23 @@ def test_stage_against_brute_force(spark, block):
         assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()), key=repr) == wanted
 
 
+def test_classes_of_fingerprints_propose_without_any_band(spark, monkeypatch):
+    """Copies within two bits of 64 are linked by SimHash alone; those further apart are not."""
+    rows, near = [], set()
+    for seed in range(12):
+        pair = copies(1, 400, 100 + seed)
+        v = [simhash.packed(simhash.bit_sums(jaccard.shingles(t)), len(jaccard.shingles(t))) for t in pair]
+        if (v[0] ^ v[1]).bit_count() <= simhash.MAX_DISTANCE:
+            near.add(2 * seed + 1)
+        rows += [(2 * seed + k, t) for k, t in enumerate(pair)]
+    assert 1 < len(near) < 12
+    # One text in two letter cases has one fingerprint.
+    rows += [(24, rows[0][1].upper()), (25, "a b c d e f"), (26, "A b c d e f")]
+    monkeypatch.setattr(jaccard, "BANDS", 0)
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(range(27)) - near - {24, 26}
+
+
 def unlike(n, opening, own, seed):
     """``n`` texts with an opening in common and words of their own, and a copy of every tenth with one word changed."""
     rnd = random.Random(seed)
