@@ -57,29 +57,40 @@ class Network:
             self.vector[self.size :] = 1
 
     def _run(self, ids: np.ndarray, state: np.ndarray, acts: np.ndarray) -> tuple:
-        """States after each step of a window (steps, lanes), and what the backward pass needs; ``acts`` are its shifted inputs."""
+        """States after each step of a window (steps, lanes), and what the backward pass needs; ``acts`` are its shifted inputs, gate by gate (3, steps, lanes, units), so that each step works on whole runs of memory."""
         n, (steps, lanes) = UNITS, ids.shape
         keep = (ids != END).astype(np.float32)[:, :, None]
         before, out, recurrent = (np.empty((steps, lanes, n), np.float32) for _ in range(3))
-        weights = self.p["state"]
+        weights = self._by_gate(self.p["state"])
+        moved = np.empty((2, lanes, n), np.float32)
+        ended = (ids == END).any(axis=1)
         for t in range(steps):
-            np.multiply(state, keep[t], out=before[t])
-            moved = before[t] @ weights
-            gates = acts[t, :, : 2 * n]
-            gates += moved[:, : 2 * n]
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            recurrent[t] = moved[:, 2 * n :]
-            new = acts[t, :, 2 * n :]
-            new += gates[:, n:] * recurrent[t]
-            np.tanh(new, out=new)
+            if ended[t]:
+                np.multiply(state, keep[t], out=before[t])
+            else:
+                before[t] = state
+            np.matmul(before[t], weights[:2], out=moved)
+            np.matmul(before[t], weights[2], out=recurrent[t])
+            moved += acts[:2, t]
+            np.exp(moved, out=moved)
+            moved += 1
+            np.reciprocal(moved, out=moved)
+            acts[:2, t] = moved
+            new = acts[2, t]
             state = out[t]
+            np.multiply(moved[1], recurrent[t], out=state)
+            new += state
+            np.tanh(new, out=new)
             np.subtract(before[t], new, out=state)
-            state *= gates[:, :n]
+            state *= moved[0]
             state += new
         return out, before, acts, recurrent, keep
 
+    @staticmethod
+    def _by_gate(weights: np.ndarray) -> np.ndarray:
+        """(3, rows, units) of a matrix whose columns are the gates' units."""
+        return np.ascontiguousarray(weights.reshape(len(weights), 3, UNITS).transpose(1, 0, 2))
+
     def _words(self, states: np.ndarray, targets: np.ndarray, logs: np.ndarray, slopes: np.ndarray | None) -> None:
         """Adds the words' part within their classes to ``logs``; in training also learns it and sets ``slopes``."""
         of = self.class_of[targets]
@@ -127,11 +138,11 @@ class Network:
         """Backpropagation through one window, and a step along it."""
         out, before, acts, recurrent, keep = run
         n = UNITS
-        update, reset, new = acts[:, :, :n], acts[:, :, n : 2 * n], acts[:, :, 2 * n :]
+        update, reset, new = acts
         to_update = (new - before) * update * (1 - update)
         to_new = (1 - update) * (1 - new * new)
         to_reset = recurrent * reset * (reset - 1)
-        drift = np.empty_like(acts)
+        drift = np.empty((*ids.shape, 3 * n), np.float32)
         straight = np.empty_like(out)
         back = np.zeros_like(out[0])
         weights = np.ascontiguousarray(self.p["state"].T)
@@ -168,7 +179,7 @@ class Network:
         state = np.zeros((lanes, UNITS), np.float32)
         for at in range(0, length, STEPS):
             window, wanted = np.ascontiguousarray(ids[at : at + STEPS]), targets[at : at + STEPS].ravel()
-            run = self._run(window, state, self.p["inputs"][window] + self.p["shift"])
+            run = self._run(window, state, self._by_gate(self.p["inputs"] + self.p["shift"])[:, window])
             state = run[0][-1]
             known = np.flatnonzero(wanted >= 0)
             slopes = np.zeros((len(wanted), UNITS), np.float32)
@@ -197,13 +208,13 @@ class Network:
             tokens = np.concatenate([texts[k] for k in members])
             ids[1:length, column], targets[:length, column] = tokens[:-1], tokens
         logs = np.zeros(ids.shape, np.float32)
-        inputs = self.p["inputs"] + self.p["shift"]
+        inputs = self._by_gate(self.p["inputs"] + self.p["shift"])
         state = np.zeros((len(lanes), UNITS), np.float32)
         lengths = np.array([lane[0] for lane in lanes])
         for at in range(0, longest, STEPS):
             active = int(np.searchsorted(-lengths, -at, "left"))
             window, wanted = ids[at : at + STEPS, :active], targets[at : at + STEPS, :active]
-            out = self._run(window, state[:active], inputs[window])[0]
+            out = self._run(window, state[:active], inputs[:, window])[0]
             state = out[-1]
             flat = wanted.ravel()
             known = np.flatnonzero(flat >= 0)
