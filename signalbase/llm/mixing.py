@@ -167,5 +167,6 @@ def taken_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     # The row travels whole, so that no column of the caller's can clash.
     keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"))
     joined = keyed.join(once, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_hash")))
-    each = joined.select("_row", "_id", F.explode("_at").alias("_position"))
+    # Written between the two shuffles of the rows, so that the disk holds one of them at a time.
+    each = staged(joined.select("_row", "_id", "_at"), "taken").select("_row", "_id", F.explode("_at").alias("_position"))
     return each.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*(F.col("_row")[c].alias(c) for c in df.columns))
