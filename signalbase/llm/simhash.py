@@ -25,6 +25,7 @@ those that begin with an underscore.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from signalbase.llm.common import by_size, one_of_each, spread_join, staged, tex
 SEGMENT_BITS = 32
 MAX_DISTANCE = 2
 PAIR_LIMIT = 64
+#: Edges that a task contracts at a time.
+EDGES = 1 << 19
 SEED = 42
 
 
@@ -128,17 +131,61 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def to_smallest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (u, v) connect: from each vertex to the smallest that it reaches by them."""
+    names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while len(a):
+        # A root moves below the smallest root beside it; each tree is then flat again, and edges within one are done.
+        low = np.minimum(a, b)
+        np.minimum.at(root, np.maximum(a, b), low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    other = np.flatnonzero(root != np.arange(len(names)))
+    return names[other], names[root[other]]
+
+
+def contracted(edges: DataFrame, block: int = EDGES) -> DataFrame:
+    """``edges`` (u, v), of which each task has put the stars in place of those that it holds, ``block`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= block or n and batch is None:
+                found = to_smallest(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
+                held, n = [], 0
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
+def components(edges: DataFrame, block: int = EDGES) -> DataFrame:
     """(v, root): the smallest vertex that each vertex of ``edges`` (a, b) reaches.
 
     Rounds of the two star operations of Kiveris et al. (2014): each round's
     edges are written to the shared folder; only a count comes to the driver.
-    The edges of a vertex of very many neighbours are not brought together.
+    Before a round's edges are written, each task contracts those it holds,
+    so that a path within them takes no round for each halving of its length:
+    the driver keeps the plans and stages of all rounds. The edges of a vertex
+    of very many neighbours are not brought together.
+
+    Rounds end when only stars are left: no vertex has two edges to smaller
+    ones, or edges to smaller and to larger ones. Until then a round changes
+    edges, and what changes an edge lowers the sum of both ends over all edges.
     """
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "star")
-    sums = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-    state = now.agg(*sums).first()
+    now = staged(contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), block), "star")
     while True:
+        ends = now.select(F.col("u").alias("of"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("of").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        state = ends.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if(F.expr("up > 1 OR up > 0 AND down > 0")).alias("open")).first()
+        if not state["open"]:
+            return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
         # Large star: the larger neighbours of a vertex move to its smallest one.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
@@ -147,11 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
         smallest = moved.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         back = spread_join(moved, smallest, ["u"], state["n"])
         nxt = back.select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = staged(nxt, "star")
-        new = now.agg(*sums).first()
-        if new == state:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        state = new
+        # No more tasks than it takes to hold the edges: what lies in one task is contracted together.
+        now = staged(contracted(nxt.coalesce(-(-state["n"] // block)), block), "star")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle_words: int = 3, pair_limit: int = PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from signalbase.llm import simhash
 from signalbase.llm.simhash import components, fingerprint_of, keep_one, links, near_duplicates
 
 
@@ -63,6 +64,38 @@ def test_links_and_components_against_brute_force(spark, limit):
     assert groups(roots) == groups(wanted)
 
 
+def reached(edges):
+    """The smallest vertex that each vertex of ``edges`` reaches."""
+    least = {x: x for e in edges for x in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+@pytest.mark.parametrize("block", [3, 40, 1 << 19])
+def test_components_of_edges_that_tasks_contract_by_blocks(spark, block):
+    rnd = random.Random(block)
+    edges = [tuple(rnd.sample(range(-150, 150), 2)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (500, 500), (1001, 1000)]
+    edges += [(2000, k) for k in range(2001, 2050)]
+    wanted = {v: r for v, r in reached(edges).items() if v != r}
+    rows = components(spark.createDataFrame(edges, "a long, b long"), block).collect()
+    assert len(rows) == len(wanted) and {r["v"]: r["root"] for r in rows} == wanted
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    """The driver keeps the plans and stages of all rounds."""
+    written = []
+    keep = simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: written.append(name) or keep(df, name))
+    at = random.Random(9).sample(range(10**6), 3000)
+    roots = components(spark.createDataFrame(list(zip(at, at[1:])), "a long, b long")).collect()
+    assert {r["v"] for r in roots} == set(at) - {min(at)} and {r["root"] for r in roots} == {min(at)}
+    assert len(roots) == 2999 and len(written) <= 3
+
+
 def test_small_buckets_give_all_pairs(spark):
     fps = [1 << k for k in range(40)]
     edges = links(spark.createDataFrame([(f,) for f in fps], "fp long"), 64)
